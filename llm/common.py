@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of text handled together by numpy code are cut so that a slice holds about this many bytes.
@@ -60,7 +61,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         group = (np.cumsum(sizes) - sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -125,3 +126,11 @@ NOT_SPACE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: Lower-cases A-Z alone
 ASCII_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps whose results are in tables by now."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

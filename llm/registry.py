@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup, near_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+    return {
+        "op1_bpe": bpe.op1_bpe,
+        "op4_sharding": sharding.op4_sharding,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
