@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, near_dedup, sharding
+from . import bpe, exact_dedup, langid, near_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.op1_bpe,
         "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.op5_near_dedup,
+        "op6_language_id": langid.op6_language_id,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
