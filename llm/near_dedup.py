@@ -37,6 +37,7 @@ from .shingles import each_slice, ragged
 HOT_VALUES = 1 << 20
 HOT_LEAST = 64
 SKETCH = 64
+ID_BUCKETS = 1 << 17
 #: The sketch of a union estimates J with a deviation of at most sqrt(.25 / 64) = 0.0625; links are dropped 5 deviations (at J = t) below t
 SLACK = 0.22
 
@@ -94,12 +95,21 @@ def _second_pass(docs: DataFrame, words: int, percent: int, hot: np.ndarray) ->
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _full_sets(docs: DataFrame, words: int) -> DataFrame:
+def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, members) of the documents in ``ids``.
+
+    A broadcast of at most ID_BUCKETS hash buckets of the ids keeps most other texts out of the shuffle.
+    """
+
+    def bucket(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(ID_BUCKETS)).cast("int")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in each_slice(batches, words):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ragged(sets, pa.int64())], names=["doc_id", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, members array<long>")
+    near = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(ids.select(bucket("doc_id").alias("bucket")).distinct()), "bucket", "left_semi")
+    return near.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, members array<long>")
 
 
 def _reaches(inter: Column, n: Column, m: Column, percent: int) -> Column:
@@ -111,7 +121,7 @@ def _possible(percent: int) -> Column:
     return _reaches(F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")), F.col("n"), F.col("m"), percent)
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets reach the threshold."""
 
     def side(df: DataFrame, key: str, column: str, name: str) -> DataFrame:
@@ -123,11 +133,17 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         pairs.join(side(sketches, "b", "sketch", "sb"), "b").join(side(sketches, "a", "sketch", "sa"), "a").where(estimate >= percent / 100 - SLACK).select("a", "b"),
         "likely",
     )
+    ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = materialise(_full_sets(docs, ids, words), "sets")
+    release(docs.sparkSession)
     inter = F.size(F.array_intersect("ma", "mb"))
-    return materialise(
+    links = materialise(
         likely.join(side(sets, "b", "members", "mb"), "b").join(side(sets, "a", "members", "ma"), "a").where(_reaches(inter, F.size("ma"), F.size("mb"), percent)).select("a", "b"),
         "links",
     )
+    discard(sets)
+    release(docs.sparkSession)
+    return links
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5, hot_least: int = HOT_LEAST) -> DataFrame:
@@ -158,12 +174,8 @@ def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5, hot_least: in
 
     proposed = lists.withColumnRenamed("doc_id", "a").join(centres, "h").where((F.col("a") != F.col("b")) & _possible(percent))
     first = materialise(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    # full sets of the documents that share a retained value with another; the others link with nothing
-    open_docs = lists.select("doc_id").distinct()
-    sets = materialise(_full_sets(docs.join(materialise(open_docs, "open"), "doc_id", "left_semi"), words), "sets")
-    release(spark)
     sketches = held.select("doc_id", "sketch")
-    links = _confirmed(first, sketches, sets, percent)
+    links = _confirmed(first, sketches, docs, words, percent)
     comps = connected_components(links)
 
     # the rest: members of one list in different components, as far as their bounds allow a link
@@ -174,11 +186,11 @@ def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5, hot_least: in
     y = left.select("h", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("cb"))
     rest = x.join(y, (x.h == y.h) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct()
     rest = materialise(rest, "rest")
-    more = _confirmed(rest.join(first, ["a", "b"], "left_anti"), sketches, sets, percent)
+    more = _confirmed(rest.join(first, ["a", "b"], "left_anti"), sketches, docs, words, percent)
     comps = connected_components(links.unionByName(more))
 
     named = materialise(classes.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("c", "rep").alias("component_id")), "named")
-    discard(held, lists, own, left, sets)
+    discard(held, lists, own, left)
     return (
         facts.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
