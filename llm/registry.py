@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, near_dedup, sharding, toxicity
+from . import bpe, exact_dedup, langid, near_dedup, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": langid.op6_language_id,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
