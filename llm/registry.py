@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, near_dedup, sharding, suffix_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, langid, near_dedup, sharding, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_decontamination": decontaminate.op2_decontamination,
         "op4_sharding": sharding.op4_sharding,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_language_id": langid.op6_language_id,
