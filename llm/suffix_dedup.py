@@ -6,10 +6,11 @@ phrase, phrases are at most 2 * length bytes long, and equal windows lie in phra
 
 1. Triggers that occur once in the corpus cannot hold a repeat and go. (A fixed-size bitmap of the
    repeated ones keeps most others out of the shuffle; exactness doesn't rest on it.)
-2. Dictionary: distinct phrases, by their bytes, with the first place of each in corpus order. Every window of
-   a later occurrence repeats.
-3. Phrases that differ but have a trigger in common may share some windows: the windows of these
-   dictionary phrases alone are grouped, each with its first place.
+2. Dictionary: distinct phrases (told apart by trigger and a 128-bit hash), with the first place of each in
+   corpus order. Every window of a later occurrence repeats.
+3. Phrases that differ but have a trigger in common may share some windows. The bytes of these dictionary
+   phrases alone are fetched; the phrases of a trigger are sorted in corpus order and their windows compared
+   in one place, up to TOGETHER phrases. The windows of a trigger with more are grouped one by one.
 4. A document's repeated windows are merged to spans and cut out.
 
 Corpus order is by doc_id, then by place. What is combined is aggregated before it is moved, so a
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ from .common import discard, flat_bytes, materialise, prefix_hash, range_hash, r
 
 LENGTH = 100
 TRIGGER = 32
-BITMAP_BITS = 24
+BITMAP_BITS = 27
+TOGETHER = 1000
+ID_BUCKETS = 1 << 17
 
 
 def phrases(texts: list[bytes], length: int = LENGTH, k: int = TRIGGER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +78,7 @@ def _triggers(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _phrases(docs: DataFrame, bitmap: np.ndarray, length: int, k: int) -> DataFrame:
-    """(doc_id, a, s, phrase) of phrases whose trigger may be repeated."""
+    """(doc_id, a, s, n, e) of phrases whose trigger may be repeated: trigger, place, bytes and their hash."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,23 +93,83 @@ def _phrases(docs: DataFrame, bitmap: np.ndarray, length: int, k: int) -> DataFr
             raw = flat.tobytes()
             ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[text], pa.int64()), pa.array(a, pa.int64()), pa.array(first - starts[text], pa.int64()), pa.array([raw[x:y] for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)], pa.binary())],
-                names=["doc_id", "a", "s", "phrase"],
+                [
+                    pa.array(ids[text], pa.int64()),
+                    pa.array(a, pa.int64()),
+                    pa.array(first - starts[text], pa.int64()),
+                    pa.array((last + length - first).astype(np.int32)),
+                    pa.array([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)], pa.binary()),
+                ],
+                names=["doc_id", "a", "s", "n", "e"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, a long, s long, phrase binary")
+    return docs.mapInArrow(run, "doc_id long, a long, s long, n int, e binary")
+
+
+def _with_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, doc_id, s, phrase) for places (doc_id, a, s, n); a document's places are gathered, then cut from its text."""
+    per_doc = materialise(places.groupBy("doc_id").agg(F.collect_list(F.struct("a", "s", "n")).alias("places")), "places")  # bounded by the document
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
+    # at most ID_BUCKETS rows are broadcast; they keep other texts out of the shuffle
+    near = docs.select("doc_id", "text", bucket).join(F.broadcast(per_doc.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            doc, a, s, cut = [], [], [], []
+            for d, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                for x in found:
+                    doc.append(d)
+                    a.append(x["a"])
+                    s.append(x["s"])
+                    cut.append(raw[x["s"] : x["s"] + x["n"]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(doc, pa.int64()), pa.array(s, pa.int64()), pa.array(cut, pa.binary())], names=["a", "doc_id", "s", "phrase"])
+
+    return near.join(per_doc, "doc_id").mapInArrow(run, "a long, doc_id long, s long, phrase binary")
+
+
+def repeats_within(groups: list[list[tuple[int, int, bytes]]], length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(doc_id, start, end) of windows that an earlier phrase of the same group holds; groups of (doc_id, place, phrase)."""
+    rows = [r for g in groups for r in sorted(g)]
+    flat, starts = flat_bytes([r[2] for r in rows])
+    row = np.repeat(np.arange(len(rows)), np.diff(starts))
+    at = np.flatnonzero(np.arange(len(flat)) + length < starts[1:][row])
+    if not len(at):
+        return []
+    hashes = range_hash(prefix_hash(flat), at, at + length)
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)  # the first in corpus order: equal windows are in one group
+    again = at[first[which] != np.arange(len(at))]
+    if not len(again):
+        return []
+    new = np.concatenate([[True], (again[1:] != again[:-1] + 1) | (row[again[1:]] != row[again[:-1]])])
+    begin, end = again[new], again[np.concatenate([new[1:], [True]])] + length
+    out = []
+    for b, e, r in zip(begin.tolist(), end.tolist(), row[begin].tolist(), strict=True):
+        doc, place, _ = rows[r]
+        out.append((doc, place + b - int(starts[r]), place + e - int(starts[r])))
+    return out
+
+
+def _compared(groups: DataFrame, length: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                found = repeats_within([[(x["doc_id"], x["s"], x["phrase"]) for x in g] for g in batch.column("g").slice(k, 200).to_pylist()], length)
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["doc_id", "start", "end"])
+
+    return groups.select("g").mapInArrow(run, "doc_id long, start long, end long")
 
 
 def _bitmap(values: DataFrame) -> np.ndarray:
     """A bitmap of fixed size with a bit for each value of ``a``."""
     slot = F.col("a").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = values.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(a & 63 as int))")).alias("bits")).toPandas()  # at most 2**18 rows
+    words = values.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(a & 63 as int))")).alias("bits")).toPandas()  # at most 2**(BITMAP_BITS - 6) rows
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return bitmap
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER, together: int = TOGETHER) -> DataFrame:
     """(doc_id, start, end): byte ranges covered by repeated windows; they may overlap."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -113,22 +177,25 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER) ->
     release(spark)
     held = materialise(_phrases(docs, _bitmap(repeated), length, k).join(repeated, "a", "left_semi"), "phrases")
     release(spark)
-    dictionary = materialise(held.groupBy("a", "phrase").agg(F.min(F.struct("doc_id", "s")).alias("first")), "dictionary")
-    occurrence = held.join(dictionary, ["a", "phrase"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.s") != F.col("s")))
-    later = materialise(occurrence.select("doc_id", F.col("s").alias("start"), (F.col("s") + F.length("phrase")).alias("end")), "later")
+    dictionary = materialise(held.groupBy("a", "e").agg(F.min(F.struct("doc_id", "s", "n")).alias("first")), "dictionary")
+    occurrence = held.join(dictionary, ["a", "e"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.s") != F.col("s")))
+    later = materialise(occurrence.select("doc_id", F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end")), "later")
     discard(held)
     release(spark)
 
-    several = materialise(dictionary.groupBy("a").count().where("count > 1").select("a"), "several")
-    mixed = dictionary.join(several, "a", "left_semi")
+    several = materialise(dictionary.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "several")
+    places = dictionary.join(several.select("a"), "a", "left_semi").select("first.doc_id", "a", "first.s", "first.n")
+    mixed = materialise(_with_bytes(docs, places), "mixed")
+    release(spark)
+    some = mixed.join(several.where(F.col("m") <= together).select("a"), "a", "left_semi")
+    near = _compared(some.groupBy("a").agg(F.collect_list(F.struct("doc_id", "s", "phrase")).alias("g")), length)  # at most ``together`` phrases of 2 * length bytes
     window = F.expr(f"substring(phrase, i + 1, {length})")
-    windows = mixed.select(F.col("first.doc_id").alias("doc_id"), F.col("first.s").alias("s"), "phrase", F.explode(F.sequence(F.lit(0), F.length("phrase") - length)).alias("i")).select(
-        F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(5), window).alias("w2"), "doc_id", (F.col("s") + F.col("i")).alias("place")
-    )
-    firsts = materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").select("w1", "w2", "first"), "firsts")
-    again = windows.join(firsts, ["w1", "w2"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
-    again = materialise(again.select("doc_id", F.col("place").alias("start"), (F.col("place") + length).alias("end")), "again")
-    discard(dictionary)
+    windows = mixed.join(several.where(F.col("m") > together).select("a"), "a", "left_semi").select("doc_id", "s", "phrase", F.explode(F.sequence(F.lit(0), F.length("phrase") - length)).alias("i"))
+    windows = materialise(windows.select(F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(5), window).alias("w2"), "doc_id", (F.col("s") + F.col("i")).alias("place")), "windows")
+    firsts = materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "place")).alias("first")).where("c > 1").select("w1", "w2", "first"), "firsts")
+    far = windows.join(firsts, ["w1", "w2"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
+    again = materialise(near.unionByName(far.select("doc_id", F.col("place").alias("start"), (F.col("place") + length).alias("end"))), "again")
+    discard(dictionary, mixed, windows)
     release(spark)
     return later.unionByName(again)
 
@@ -145,9 +212,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER, together: int = TOGETHER) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary), one row per document."""
-    ranges = repeated_windows(docs, length, k)
+    ranges = repeated_windows(docs, length, k, together)
     per_doc = materialise(ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")  # bounded by the document
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
