@@ -14,7 +14,8 @@ count from which a value is moved grows with the input.
 4. A second sketch (the smallest hashes) estimates the similarity on the sketch of the union; links far
    below the threshold go. The rest is confirmed on full sets.
 5. Components. Then whatever lists still hold members of different components that their bounds allow to
-   link is proposed pair by pair, filtered and confirmed likewise: the result is complete.
+   link is proposed pair by pair, filtered and confirmed likewise: the result is complete. In long lists the
+   filter, on deeper sketches, is part of the join, which so puts out few of the pairs it compares.
 
 Edge cases: texts without words (or null) have the empty set, link with nothing and stand alone; a text of
 fewer words than a shingle has one shingle, its whole word sequence; rows of the same text link at once by
@@ -38,6 +39,10 @@ HOT_VALUES = 1 << 20
 HOT_LEAST = 64
 SKETCH = 64
 ID_BUCKETS = 1 << 17
+#: Lists of more members compare these larger sketches (exact for sets that fit) before they propose a pair
+SHORT_LIST = 32
+DEEP_SKETCH = 256
+DEEP_SLACK = 0.12
 #: The sketch of a union estimates J with a deviation of at most sqrt(.25 / 64) = 0.0625; links are dropped 5 deviations (at J = t) below t
 SLACK = 0.22
 
@@ -146,6 +151,23 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: in
     return links
 
 
+def _cross_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of one list and different components that may link by position and size and, where rows have one, by sketch."""
+    deep = "sketch" in left.columns
+    x = left.select(*[F.col(c).alias(f"x_{c}") for c in left.columns])
+    y = left.select(*[F.col(c).alias(f"y_{c}") for c in left.columns])
+    nx, ny = F.col("x_n"), F.col("y_n")
+    bound = _reaches(F.least(nx - F.col("x_i"), ny - F.col("y_i")), nx, ny, percent)
+    match = (F.col("x_h") == F.col("y_h")) & (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_c") != F.col("y_c")) & bound
+    if deep:
+        whole = (nx <= DEEP_SKETCH) & (ny <= DEEP_SKETCH)  # then the sketches are the sets
+        union = F.slice(F.array_sort(F.array_union("x_sketch", "y_sketch")), 1, DEEP_SKETCH)
+        near = F.size(F.array_intersect(F.array_intersect(union, "x_sketch"), "y_sketch")) / F.size(union) >= percent / 100 - DEEP_SLACK
+        exact = _reaches(F.size(F.array_intersect("x_sketch", "y_sketch")), nx, ny, percent)
+        match = match & F.when(whole, exact).otherwise(near)
+    return x.join(y, match).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
+
+
 def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5, hot_least: int = HOT_LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document.
 
@@ -180,17 +202,21 @@ def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5, hot_least: in
 
     # the rest: members of one list in different components, as far as their bounds allow a link
     own = materialise(lists.join(comps.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "own")
-    mixed = materialise(own.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h"), "mixed")
-    left = materialise(own.join(mixed, "h", "left_semi"), "left")
-    x = left.select("h", F.col("doc_id").alias("a"), "n", "i", F.col("c").alias("ca"))
-    y = left.select("h", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("c").alias("cb"))
-    rest = x.join(y, (x.h == y.h) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _possible(percent)).select("a", "b").distinct()
-    rest = materialise(rest, "rest")
+    mixed = materialise(own.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high").select("h", "size"), "mixed")
+    left = materialise(own.join(mixed, "h"), "left")
+    short = _cross_pairs(left.where(F.col("size") <= SHORT_LIST).drop("size"), percent)
+    # in longer lists the sketches are compared within the join: what it puts out are likely links alone
+    long = left.where(F.col("size") > SHORT_LIST).drop("size")
+    ids = materialise(long.select("doc_id").distinct(), "longids")
+    deep = materialise(_full_sets(docs, ids, words).select("doc_id", F.slice("members", 1, DEEP_SKETCH).alias("sketch")), "deep")
+    release(spark)
+    far = _cross_pairs(long.join(deep, "doc_id"), percent)
+    rest = materialise(short.unionByName(far).distinct(), "rest")
     more = _confirmed(rest.join(first, ["a", "b"], "left_anti"), sketches, docs, words, percent)
     comps = connected_components(links.unionByName(more))
 
     named = materialise(classes.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("c", "rep").alias("component_id")), "named")
-    discard(held, lists, own, left)
+    discard(held, lists, own, left, deep)
     return (
         facts.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
