@@ -85,18 +85,31 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack_into(sizes: list[int], bins: int) -> list[int]:
-    """Best-fit decreasing with the least capacity (by bisection) that needs no more than ``bins`` bins."""
-    total = sum(sizes)
-    low, high = max(-(-total // bins), max(sizes, default=0)), total + 1
-    best = best_fit_decreasing(sizes, high)
+    """Best-fit decreasing with the least capacity (by bisection) that needs no more than ``bins`` bins.
+
+    An item of a fair share of what is left or more has a bin to itself, so it does not widen the others.
+    """
+    out, total = [0] * len(sizes), sum(sizes)
+    todo = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
+    alone = 0
+    while bins - alone > 1 and alone < len(todo) and sizes[todo[alone]] * (bins - alone) >= total:
+        out[todo[alone]] = alone
+        total -= sizes[todo[alone]]
+        alone += 1
+    rest = todo[alone:]
+    some = [sizes[k] for k in rest]
+    low, high = max(-(-total // (bins - alone)), max(some, default=0)), total + 1
+    best = best_fit_decreasing(some, high)
     while low < high:
         middle = (low + high) // 2
-        packed = best_fit_decreasing(sizes, middle)
-        if max(packed, default=0) < bins:
+        packed = best_fit_decreasing(some, middle)
+        if max(packed, default=0) < bins - alone:
             best, high = packed, middle
         else:
             low = middle + 1
-    return best
+    for k, b in zip(rest, best, strict=True):
+        out[k] = alone + b
+    return out
 
 
 def shard(docs: DataFrame, shards: int = 16, units: int = UNITS) -> DataFrame:
