@@ -33,7 +33,7 @@ MAX_TERMS = 2_000
 LEAST_RATIO = 3.0  # natural log of how much more common a term must be in toxic texts
 FUZZY_LEAST = 5  # letters of a term that may be misspelled
 STEM_LEAST = 4
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 WINDOW = 60
 _WORD = regex.compile(r"[\p{L}\p{N}_@$]+")
 _QUOTES = "\"“”„«»"
@@ -100,7 +100,11 @@ class Lexicon:
     logit: tuple[float, float, float] = (-30.0, 0.0, 0.0)
 
     def prepare(self) -> None:
-        self.trie = Trie([w for w in self.words if len(w) >= FUZZY_LEAST])
+        fuzzy = [w for w in self.words if len(w) >= FUZZY_LEAST]
+        self.trie = Trie(fuzzy)
+        # words at distance 1 of each other become equal by at most one deletion each
+        self.near = set(fuzzy) | {w[:i] + w[i + 1 :] for w in fuzzy for i in range(len(w))}
+        self.longest = max(map(len, fuzzy), default=0) + 1
         self.exact, self.stem = set(self.words), set(self.stems)
         self.lengths = sorted({len(s) for s in self.stems})
         self.cache: dict[str, tuple[tuple[str, str], ...]] = {}
@@ -114,17 +118,33 @@ class Lexicon:
             out = [(word, "exact")]
         else:
             out = [(word[:n], "stem") for n in self.lengths if word[:n] in self.stem and len(word) >= n]
-            if not out and len(word) >= FUZZY_LEAST - 1 and len(word) <= 40:
+            if not out and FUZZY_LEAST - 1 <= len(word) <= self.longest and self.may_be_near(word):
                 out = [(t, "fuzzy") for t in self.trie.within(word)]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         self.cache[word] = tuple(out)
         return self.cache[word]
 
+    def may_be_near(self, word: str) -> bool:
+        """False only for words that no term is within distance 1 of: spares them the automaton."""
+        near = self.near
+        if word in near:
+            return True
+        for i in range(len(word)):
+            if word[:i] + word[i + 1 :] in near:
+                return True
+        return False
+
     def matches(self, text: str | None) -> dict[tuple[str, str], bool]:
         """(term, way) -> whether all its places in the text are quoted."""
         low = (text or "").lower()
-        hits = {w for w in set(_WORD.findall(low)) if self.of_word(w)}
+        known, of_word, hits = self.cache.get, self.of_word, set()
+        for w in set(_WORD.findall(low)):
+            found = known(w)
+            if found is None:
+                found = of_word(w)
+            if found:
+                hits.add(w)
         out: dict[tuple[str, str], bool] = {}
         if hits:
             for m in _WORD.finditer(low):
