@@ -194,8 +194,11 @@ def search(block: Block, texts: list[str | None]) -> list[dict[int, float]]:
     listed = [block.words[k].tolist() for k in range(len(block.words))]
     for w0 in range(0, len(windows), 512):
         some = windows[w0 : w0 + 512]
-        last = np.minimum(some + wide, before[owner[some] + 1])
+        last = np.minimum(some + wide, before[owner[some] + 1])  # windows end with their text
         sizes = edges[last] - edges[some]
+        some, last, sizes = some[sizes > 0], last[sizes > 0], sizes[sizes > 0]
+        if not len(some):
+            continue
         starts = np.cumsum(sizes) - sizes
         flat = np.repeat(edges[some] - starts, sizes) + np.arange(sizes.sum())
         sums = np.add.reduceat(block.latent[numbers[known[flat]]], starts, axis=0)
