@@ -35,7 +35,7 @@ from .common import discard, flat_bytes, materialise, prefix_hash, range_hash, r
 
 LENGTH = 100
 TRIGGER = 32
-BITMAP_BITS = 27
+BITMAP_BITS = 25
 TOGETHER = 1000
 ID_BUCKETS = 1 << 17
 
