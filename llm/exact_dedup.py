@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, release, table
 
 SPACES = " \t\n\x0b\x0c\r"
 BLOCK_CHARS = 4096
@@ -53,6 +53,8 @@ def block_names(docs: DataFrame, block_chars: int = BLOCK_CHARS, hash_bits: int
         told_apart = blocks.join(clashes, ["h1", "h2"]).join(names.select("h1", "h2", "block", "name"), ["h1", "h2", "block"])
         level = level.unionByName(told_apart.select("doc_id", "pos", "name"))
     level = materialise(level, "level")
+    discard(names, single)
+    release(docs.sparkSession)
     return _paired(level)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 UNITS = 512
 SLOT_ROWS = 50_000
@@ -134,6 +134,7 @@ def shard(docs: DataFrame, shards: int = 16, units: int = UNITS) -> DataFrame:
     # sizes of units are bounded by the assertion above
     where = materialise(unit.join(F.broadcast(bins), "unit").select("group", "shard"), "where")
     placed = materialise(rows.join(where, "group").select("doc_id", "size", "text_crc32", "shard"), "placed")
+    discard(rows, groups, unit)
     return _slots(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
