@@ -1,8 +1,8 @@
 """License scan in DataFrame operations alone: TF-IDF cosine to templates, then inheritance by directory.
 
 1. Document frequencies of the templates' terms are counted over all texts.
-2. Lines that hold a distinctive template term, and the whole texts of their files, are compared with every
-   template by the cosine of sparse TF-IDF vectors. A line of HEADER or more gives its file a license; a file
+2. Lines that hold a template term other than a stopword, and the whole texts of their files, are compared
+   with every template by the cosine of sparse TF-IDF vectors. A line of HEADER or more gives its file a license; a file
    whose whole text reaches WHOLE is a license file, as is one named so whose lines give a license.
 3. A file without a license of its own takes that of the license file in its nearest directory upwards. Each
    distinct directory is resolved once, by an equi-join of its ancestors with the directories of license
@@ -24,7 +24,8 @@ from .common import materialise, table
 
 HEADER = 0.6
 WHOLE = 0.5
-COMMON = 0.2  # share of texts from which a template term is not distinctive
+#: Words of the templates by which no line is picked for comparison, however rare they are in a table
+STOPWORDS = {"a", "any", "by", "except", "for", "in", "into", "is", "may", "not", "of", "or", "the", "this", "to", "under", "v", "with", "you"}
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
 #: License names and statements by which texts declare them
@@ -84,7 +85,7 @@ def license_scan(files: DataFrame, key: str = "doc_id") -> DataFrame:
         norms[k] = norms.get(k, 0.0) + (c * idf[t]) ** 2
     weights = _values(spark, [(k, name, t, c * idf[t] / math.sqrt(norms[k])) for k, name, t, c in terms], ["template", "license", "term", "weight"])
     terms_idf = _values(spark, [(t, float(idf[t])) for t in vocabulary], ["term", "idf"])
-    strong = F.array(*[F.lit(t) for t in vocabulary if df.get(t, 0) <= COMMON * max(n, 1)] or [F.lit("")])
+    strong = F.array(*[F.lit(t) for t in vocabulary if t not in STOPWORDS and not t.isdigit()])
 
     lines = F.transform(F.split("text", r"\r?\n"), lambda line, k: F.struct(k.alias("unit"), words(line).alias("words")))
     marked = files.select("id", "text", F.filter(lines, lambda x: F.arrays_overlap(x["words"], strong)).alias("lines")).where(F.size("lines") > 0)

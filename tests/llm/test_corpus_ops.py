@@ -169,3 +169,12 @@ def test_license_scan(spark):
         9: ("MIT", "inherited", "a/LICENSE"), 10: ("MIT", "inherited", "a/LICENSE"),
     }
     assert license_scan.license_scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [1, 3])
+@pytest.mark.parametrize("n", [3, 30])
+def test_license_scan_of_a_frequent_license(spark, n, share):
+    prose_ = "the quick brown fox jumps over the lazy dog\n"
+    rows = [(k, f"{k}/x.txt", prose_ + "Released under the MIT License." if k % share == 0 else prose_) for k in range(n)]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {k: ("MIT", "header") if k % share == 0 else (None, "none") for k in range(n)}
