@@ -1,6 +1,7 @@
 """License scan in DataFrame operations alone: TF-IDF cosine to templates, then inheritance by directory.
 
-1. Document frequencies of the templates' terms are counted over all texts.
+1. Document frequencies of all words are counted over all texts. Weights follow a word's share of the texts,
+   with RAREST as the least, so a header's cosine does not depend on the size of the table.
 2. Lines that hold a template term other than a stopword, and the whole texts of their files, are compared
    with every template by the cosine of sparse TF-IDF vectors. A line of HEADER or more gives its file a license; a file
    whose whole text reaches WHOLE is a license file, as is one named so whose lines give a license.
@@ -20,10 +21,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 HEADER = 0.6
 WHOLE = 0.5
+RAREST = 0.001  # share of texts below which words weigh the same
 #: Words of the templates by which no line is picked for comparison, however rare they are in a table
 STOPWORDS = {"a", "any", "by", "except", "for", "in", "into", "is", "may", "not", "of", "or", "the", "this", "to", "under", "v", "with", "you"}
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
@@ -74,38 +76,38 @@ def license_scan(files: DataFrame, key: str = "doc_id") -> DataFrame:
     vocabulary = sorted({t for _, _, t, _ in terms})
     known = F.array(*[F.lit(t) for t in vocabulary])
 
-    # document frequencies of the templates' terms: as many rows as the templates have terms
-    counts = files.select(F.explode(F.concat(F.array_intersect(words(F.col("text")), known), F.array(F.lit("")))).alias("term")).groupBy("term").count()
-    df = {r["term"]: r["count"] for r in counts.collect()}
-    n = df.get("", 0)
-    idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
-    rare = math.log(n + 1) + 1  # of any other term, as if no text had it
+    # words of more than a share of RAREST: their number does not grow with the table; all others weigh the same
+    n = files.count()
+    # explode_outer: explode would have Spark infer a filter that splits every text once more
+    each = files.select(F.explode_outer(F.array_distinct(words(F.col("text")))).alias("term")).where("term IS NOT NULL")
+    seen = materialise(each.groupBy("term").count(), "terms")
+    fewest = seen.agg(F.min("count")).head()[0] or 0
+    share = max(RAREST, fewest / max(n, 1))  # no word counts as rarer than the table's rarest
+    rare = 1 - math.log(share)
+    common = materialise(seen.where(F.col("count") > share * n).select("term", (1 - F.log(F.col("count") / n)).alias("idf")), "common")
+    discard(seen)
+    idf = dict.fromkeys(vocabulary, rare) | {r["term"]: r["idf"] for r in common.where(F.col("term").isin(vocabulary)).collect()}
     norms: dict[int, float] = {}
     for k, _, t, c in terms:
         norms[k] = norms.get(k, 0.0) + (c * idf[t]) ** 2
     weights = _values(spark, [(k, name, t, c * idf[t] / math.sqrt(norms[k])) for k, name, t, c in terms], ["template", "license", "term", "weight"])
-    terms_idf = _values(spark, [(t, float(idf[t])) for t in vocabulary], ["term", "idf"])
     strong = F.array(*[F.lit(t) for t in vocabulary if t not in STOPWORDS and not t.isdigit()])
 
     lines = F.transform(F.split("text", r"\r?\n"), lambda line, k: F.struct(k.alias("unit"), words(line).alias("words")))
-    marked = files.select("id", "text", F.filter(lines, lambda x: F.arrays_overlap(x["words"], strong)).alias("lines")).where(F.size("lines") > 0)
-    whole = F.array(F.struct(F.lit(-1).alias("unit"), words(F.col("text")).alias("words")))
-    units = marked.select("id", F.explode(F.concat("lines", whole)).alias("u")).select("id", "u.unit", F.explode("u.words").alias("term"))
-    tf = units.groupBy("id", "unit", "term").agg(F.count("*").alias("tf"))
-    # both tables on the right hold the templates' terms alone
-    weighed = tf.join(F.broadcast(terms_idf), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    norm = weighed.groupBy("id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = weighed.join(F.broadcast(weights), "term").groupBy("id", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    cosine = dot.join(norm, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-    best = cosine.groupBy("id", (F.col("unit") < 0).alias("is_whole")).agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"))
-    own = materialise(
-        best.groupBy("id").agg(
-            F.max(F.when(~F.col("is_whole"), -F.col("b.neg"))).alias("score"),
-            F.max(F.when(~F.col("is_whole"), F.col("b.license"))).alias("license"),
-            F.max(F.when(F.col("is_whole"), -F.col("b.neg"))).alias("whole"),
-        ).where(F.col("score") >= HEADER),
-        "own",
-    )
+    def best(units: DataFrame) -> DataFrame:
+        """(id, b): the best template of any of a file's units."""
+        tf = units.select("id", "unit", F.explode_outer("words").alias("term")).where("term IS NOT NULL").groupBy("id", "unit", "term").agg(F.count("*").alias("tf"))
+        weighed = tf.join(F.broadcast(common), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rare)))
+        norm = weighed.groupBy("id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+        dot = weighed.join(F.broadcast(weights), "term").groupBy("id", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+        cosine = dot.join(norm, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+        return cosine.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"))
+
+    marked = files.select("id", F.explode_outer(F.filter(lines, lambda x: F.arrays_overlap(x["words"], strong))).alias("u")).where("u IS NOT NULL").select("id", "u.unit", "u.words")
+    headers = materialise(best(marked).select("id", (-F.col("b.neg")).alias("score"), "b.license").where(F.col("score") >= HEADER), "headers")
+    # only a file with a license of its own may be a license file
+    wholes = files.join(headers, "id", "left_semi").select("id", F.lit(-1).alias("unit"), words(F.col("text")).alias("words"))
+    own = materialise(headers.join(best(wholes).select("id", (-F.col("b.neg")).alias("whole")), "id", "left"), "own")
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
     scanned = materialise(files.select("id", "path", directory.alias("dir")).join(own, "id", "left"), "scanned")
 

@@ -178,3 +178,17 @@ def test_license_scan_of_a_frequent_license(spark, n, share):
     rows = [(k, f"{k}/x.txt", prose_ + "Released under the MIT License." if k % share == 0 else prose_) for k in range(n)]
     got = {r["doc_id"]: (r["license"], r["origin"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {k: ("MIT", "header") if k % share == 0 else (None, "none") for k in range(n)}
+
+
+def test_license_scan_does_not_depend_on_the_size_of_the_table(spark):
+    prose_ = "this project file is for the public and its details are in the work that you see\n"
+    headers = {0: "This project is released under the MIT License.", 1: "// Licensed under the Apache License, Version 2.0 - see LICENSE for details"}
+    texts = [prose_ + headers.get(k, f"word{k} other{k} third{k}") for k in range(20)]
+    found = []
+    for times in (1, 200):
+        df = spark.range(20 * times).selectExpr("id AS doc_id", "concat(id, '/x.txt') AS path", f"element_at(array({', '.join(map(repr, texts))}), cast(id % 20 + 1 AS int)) AS text")
+        got = license_scan.license_scan(df).selectExpr("doc_id % 20 AS k", "license", "score").distinct().collect()
+        found.append({r["k"]: (r["license"], r["score"]) for r in got})
+        assert len(got) == 20
+    assert found[0] == found[1]
+    assert [found[0][k][0] for k in range(3)] == ["MIT", "Apache-2.0", None]
