@@ -10,7 +10,7 @@ from llm import license_scan
 from llm.components import connected_components
 from llm.exact_dedup import exact_dedup
 from llm.near_dedup import near_dedup
-from llm.substring_dedup import chains, substring_dedup
+from llm.substring_dedup import chains, passages, substring_dedup
 from llm.suffix_dedup import suffix_dedup
 
 SCHEMA = "doc_id long, text string, name string, h1 long, a long, n int, c long, pos int"
@@ -192,3 +192,19 @@ def test_license_scan_does_not_depend_on_the_size_of_the_table(spark):
         assert len(got) == 20
     assert found[0] == found[1]
     assert [found[0][k][0] for k in range(3)] == ["MIT", "Apache-2.0", None]
+
+
+def test_substring_dedup_of_short_shared_lines(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000)]
+    lines, passage = [prose(rng, 16, vocab) for _ in range(3)], prose(rng, 60, vocab)
+    docs = [prose(rng, 40, vocab) + x + prose(rng, 40, vocab) for x in [*lines, passage]]
+    stock = prose(rng, 30, vocab) + lines[0] + prose(rng, 12, vocab) + lines[1] + prose(rng, 12, vocab) + lines[2] + prose(rng, 30, vocab)
+    docs += [stock, prose(rng, 30, vocab) + passage + prose(rng, 30, vocab)]
+    aligned = [{"start": 28 * k, "end": 28 * k + 16, "partner": k, "partner_start": 40, "partner_end": 56, "identity": 1.0} for k in range(3)]
+    assert passages(aligned) == []
+    near = [{"start": a, "end": a + 28, "partner": 0, "partner_start": a + 5, "partner_end": a + 33, "identity": 1.0} for a in (0, 36)]
+    assert passages(near) == [(0, 64, {0})]  # one partner and 56 of 64 words agree
+    got = {r["doc_id"]: r for r in substring_dedup(frame(spark, [(k, " ".join(x)) for k, x in enumerate(docs)])).collect()}
+    assert not got[4]["spans"]
+    assert [(s["start"], s["end"]) for s in got[5]["spans"]] == [(30, 90)]
