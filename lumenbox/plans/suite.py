@@ -456,7 +456,7 @@ def w03_first_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def w04_best_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held against a scan in the tests."""
-    t = a.trials(spark, sf_dir).withColumn("pos", F.col("ord")).where("ord < 16")
+    t = a.trials(spark, sf_dir).withColumn("pos", F.col("ord"))
     return rules.best_tile(t, ["screen_id"])
 
 
@@ -478,7 +478,7 @@ def g01_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def u07_ocr_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded answers to lines of text: parsed, cleaned, de-duplicated, in reading order."""
-    said = a.answers(spark, sf_dir).where("ord < 24").groupBy("screen_id").agg(F.sort_array(F.collect_list(F.struct("ord", "box", "text"))).alias("l"))
+    said = a.answers(spark, sf_dir).groupBy("screen_id").agg(F.sort_array(F.collect_list(F.struct("ord", "box", "text"))).alias("l"))
     lines = F.transform("l", lambda x: F.struct(F.array(*[x["box"][k] for k in ("x1", "y1", "x2", "y2")]).alias("bbox_2d"), x["text"].alias("text")))
     view = F.struct(F.lit(W).alias("w"), F.lit(H).alias("h"), g.make_transform(0, 0, 1, 1).alias("tf"))
     told = said.select("screen_id", F.to_json(lines).alias("answer"), view.alias("view"), F.lit("abs").alias("mode"))

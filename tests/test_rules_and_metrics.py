@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenbox.functions import geometry as g
 from lumenbox.functions import text
 from lumenbox.operators import audit, datagen, inference, layout, metrics, planning, report, rules
+from lumenbox.plans import adapters, suite
 from lumenbox.sources import checkpoints, registry
 from lumenbox.streaming import trials as streamed
 
@@ -211,3 +212,19 @@ def test_stream_of_trials(spark, tmp_path):
     q.awaitTermination(60)
     r = spark.sql("SELECT n, n_found, n_accepted FROM counts").head()
     assert tuple(r) == (2, 2, 1)
+
+
+def test_whole_screens_enter_best_tile_and_ocr_task(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = adapters.trials(spark, sf).select("screen_id", "ord", "confidence").collect()
+    best = {}
+    for s, k, c in sorted(rows, key=lambda r: (r[0], r[1], -9.0 if r[2] is None else r[2])):
+        if s not in best or (-1.0 if c is None else c) > (best[s][1] or -1.0):
+            best[s] = (k, c)
+    got = {r["screen_id"]: (r["pos"], r["confidence"]) for r in suite.QUERIES["w04_best_tile"](spark, sf).collect()}
+    assert got == best
+    # of equal lines that overlap one stays, so each text that was read on a screen is told
+    said = adapters.answers(spark, sf).select("screen_id", text.clean_line(F.col("text"), F.col("text")).alias("text")).where(F.length("text") > 0)
+    told = {(r["screen_id"], r["text"]) for r in suite.QUERIES["u07_ocr_task"](spark, sf).collect()}
+    whole = {(r["screen_id"], r["text"]) for r in said.distinct().collect()}
+    assert len(told & whole) > 0.9 * len(whole)
