@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of text handled together by numpy code are cut so that a slice holds about this many bytes.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; the warehouse where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) takes the warehouse; on a cluster that is an error, as a
+    machine's own folder would lose rows.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return base.rstrip("/")
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark removes the shuffle files of an execution when it ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -29,12 +50,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage (a lost executor costs no more than the lost tasks), freezes row order dependent
     values such as generated ids, and leaves both sides of a later join as plain exchanges, which
-    adaptive execution can split when a key is hot. Deleted when the JVM ends.
+    adaptive execution can split when a key is hot. Deleted by discard(), or when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -126,11 +148,3 @@ NOT_SPACE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: Lower-cases A-Z alone
 ASCII_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps whose results are in tables by now."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -17,10 +17,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     state = materialise(edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("v"), F.col("a").alias("c")), "state")
-    live = edges.where("a <> b")
+    live, ended = edges.where("a <> b"), []
     while True:
         hooks = materialise(live.groupBy(F.col("b").alias("r")).agg(F.min("a").alias("p")), "hooks")
         if not hooks.head(1):
+            discard(edges, hooks, *ended)
             return state
         while True:  # r -> p -> p's p, until every p is a root
             up = hooks.select(F.col("r").alias("p"), F.col("p").alias("q"))
@@ -37,5 +38,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(),
             "ends",
         )
-        live = ends
-        discard(old)
+        discard(old, hooks, *ended)
+        live, ended = ends, [ends]

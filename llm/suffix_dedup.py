@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, flat_bytes, materialise, prefix_hash, range_hash, release, table, text_slices
+from .common import discard, flat_bytes, materialise, prefix_hash, range_hash, table, text_slices
 
 LENGTH = 100
 TRIGGER = 32
@@ -174,19 +174,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER, to
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     repeated = materialise(_triggers(docs, length, k).groupBy("a").count().where("count > 1").select("a"), "triggers")
-    release(spark)
     held = materialise(_phrases(docs, _bitmap(repeated), length, k).join(repeated, "a", "left_semi"), "phrases")
-    release(spark)
     dictionary = materialise(held.groupBy("a", "e").agg(F.min(F.struct("doc_id", "s", "n")).alias("first")), "dictionary")
     occurrence = held.join(dictionary, ["a", "e"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.s") != F.col("s")))
     later = materialise(occurrence.select("doc_id", F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end")), "later")
     discard(held)
-    release(spark)
 
     several = materialise(dictionary.groupBy("a").agg(F.count("*").alias("m")).where("m > 1"), "several")
     places = dictionary.join(several.select("a"), "a", "left_semi").select("first.doc_id", "a", "first.s", "first.n")
     mixed = materialise(_with_bytes(docs, places), "mixed")
-    release(spark)
     some = mixed.join(several.where(F.col("m") <= together).select("a"), "a", "left_semi")
     near = _compared(some.groupBy("a").agg(F.collect_list(F.struct("doc_id", "s", "phrase")).alias("g")), length)  # at most ``together`` phrases of 2 * length bytes
     window = F.expr(f"substring(phrase, i + 1, {length})")
@@ -196,7 +192,6 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER, to
     far = windows.join(firsts, ["w1", "w2"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
     again = materialise(near.unionByName(far.select("doc_id", F.col("place").alias("start"), (F.col("place") + length).alias("end"))), "again")
     discard(dictionary, mixed, windows)
-    release(spark)
     return later.unionByName(again)
 
 

@@ -79,16 +79,43 @@ def components(edges, nodes):
     return {v: find(v) for v in nodes}
 
 
-@pytest.mark.parametrize("short", [2, 32])
-def test_near_dedup(spark, corpus, short, monkeypatch):
-    monkeypatch.setattr("llm.near_dedup.SHORT_LIST", short)
+def wanted_components(sets, percent):
+    links = [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and 100 * len(x & y) >= percent * len(x | y)]
+    return components(links, sets)
+
+
+@pytest.mark.parametrize("options", [{}, {"sample": 1, "hot_least": 3}, {"sample": 1, "hot_least": 1000}])
+def test_near_dedup(spark, corpus, options):
     sets = {k: shingles(t) for k, t in corpus}
-    links = [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and 100 * len(x & y) >= 85 * len(x | y)]
-    want = components(links, sets)
-    got = near_dedup(frame(spark, corpus), hot_least=8).collect()
+    want = wanted_components(sets, 85)
+    got = near_dedup(frame(spark, corpus), **options).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {k: (len(sets[k]), want[k], want[k] == k) for k in sets}
 
 
+@pytest.mark.parametrize("hot_values", [1 << 20, 40])
+def test_near_dedup_with_boilerplate_and_large_sets(spark, hot_values, monkeypatch):
+    """Sets of over 256 shingles, boilerplate in most texts, families about the threshold; levels for all or a few values."""
+    monkeypatch.setattr("llm.near_dedup.HOT_VALUES", hot_values)
+    rng = random.Random(19)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6000)]
+    stock, docs = prose(rng, 120, vocab), []
+    for size in (120, 350, 900):
+        base = prose(rng, size, vocab)
+        for k in range(25):
+            x = list(base)
+            for _ in range(rng.randint(0, size // 40)):
+                x[rng.randrange(len(x))] = rng.choice(vocab)
+            docs.append(" ".join(x + stock if k % 3 else x))
+    docs += [" ".join(prose(rng, rng.randint(10, 60), vocab) + stock) for _ in range(30)]
+    docs = list(enumerate(docs))
+    sets = {k: shingles(t) for k, t in docs}
+    for percent in (80, 85):
+        want = wanted_components(sets, percent)
+        got = near_dedup(frame(spark, docs), percent=percent, sample=2).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        assert 3 < len(set(want.values())) < len(docs)
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup(frame(spark, [])).count() == 0
 
