@@ -4,17 +4,23 @@ A rolling hash picks triggers: of every window of ``length`` bytes the K-byte st
 windows with the same trigger make a phrase: the bytes that those windows cover. So every window lies in one
 phrase, phrases are at most 2 * length bytes long, and equal windows lie in phrases with the same trigger.
 
-1. Triggers that occur once in the corpus cannot hold a repeat and go. (A fixed-size bitmap of the
-   repeated ones keeps most others out of the shuffle; exactness doesn't rest on it.)
-2. Dictionary: distinct phrases (told apart by trigger and a 128-bit hash), with the first place of each in
-   corpus order. Every window of a later occurrence repeats.
-3. Phrases that differ but have a trigger in common may share some windows. The bytes of these dictionary
-   phrases alone are fetched; the phrases of a trigger are sorted in corpus order and their windows compared
-   in one place, up to TOGETHER phrases. The windows of a trigger with more are grouped one by one.
-4. A document's repeated windows are merged to spans and cut out.
-
-Corpus order is by doc_id, then by place. What is combined is aggregated before it is moved, so a
-passage that a third of all documents holds costs each task one row.
+1. Triggers that occur once in the corpus cannot hold a repeat and go. (A bitmap of bounded size of
+   the repeated ones keeps most others out of the shuffle; exactness doesn't rest on it.)
+2. Parse: each document's phrases in order, by name (trigger and a 128-bit cryptographic digest). Sorted by name,
+   then place, as its suffix array is to the depth of one phrase, which holds whole windows, it gives every
+   distinct phrase its first place in corpus order. Every window of a later occurrence repeats.
+3. Dictionary: distinct phrases. Those that share a trigger with another may share some windows; their bytes are
+   fetched and the suffix array of these phrases is built, ordered by ``length`` bytes (prefix doubling, so
+   bytes are compared, not hashes). Neighbours with a common prefix of ``length`` bytes are one window.
+4. Combined: of neighbours in the dictionary's suffix array the one whose phrase stands first in the parse is
+   the window's first place in the corpus; the others repeat. Triggers are independent of each other, so
+   arrays are built for many small groups of phrases at once; the windows of a trigger with more than TOGETHER
+   phrases are ordered by the cluster, row by row, on their bytes as well.
+5. A document's repeated windows are merged to spans and cut out.
+
+Only that part of the corpus's suffix order is made that can hold neighbours with ``length`` bytes in common: a
+whole order would be a row for each byte of the corpus. Corpus order is by doc_id, then by place. What is combined
+is aggregated before it is moved, so a passage that a third of all documents holds costs each task one row.
 
 Edge cases: null text is empty; texts shorter than ``length`` keep all bytes; repeats may overlap
 themselves (a run of one byte); matches never cross documents; rows of equal text: all but the first lose
@@ -24,19 +30,20 @@ their repeated windows; extra columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap_of, may_hold
 from .common import discard, flat_bytes, materialise, prefix_hash, range_hash, table, text_slices
 
 LENGTH = 100
 TRIGGER = 32
-BITMAP_BITS = 25
 TOGETHER = 1000
+GROUPS = 200  # of phrases that one suffix array is built for
 ID_BUCKETS = 1 << 17
 
 
@@ -87,8 +94,7 @@ def _phrases(docs: DataFrame, bitmap: np.ndarray, length: int, k: int) -> DataFr
             flat, starts, text, a, first, last = phrases([(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], length, k)
             if not len(a):
                 continue
-            slot = a & ((1 << BITMAP_BITS) - 1)
-            held = (bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            held = may_hold(bits, a)
             text, a, first, last = text[held], a[held], first[held], last[held]
             raw = flat.tobytes()
             ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
@@ -98,7 +104,7 @@ def _phrases(docs: DataFrame, bitmap: np.ndarray, length: int, k: int) -> DataFr
                     pa.array(a, pa.int64()),
                     pa.array(first - starts[text], pa.int64()),
                     pa.array((last + length - first).astype(np.int32)),
-                    pa.array([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)], pa.binary()),
+                    pa.array([blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(first.tolist(), (last + length).tolist(), strict=True)], pa.binary()),
                 ],
                 names=["doc_id", "a", "s", "n", "e"],
             )
@@ -128,6 +134,25 @@ def _with_bytes(docs: DataFrame, places: DataFrame) -> DataFrame:
     return near.join(per_doc, "doc_id").mapInArrow(run, "a long, doc_id long, s long, phrase binary")
 
 
+def suffix_ranks(flat: np.ndarray, length: int) -> np.ndarray:
+    """Rank of the suffix at every place by its first ``length`` bytes (zeros beyond the end); equal ones share a rank.
+
+    Prefix doubling: ranks by w bytes at a place and w places on give the ranks by 2 * w.
+    """
+    eight = np.zeros(len(flat), np.uint64)
+    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
+    wide = min(8, length)
+    for j in range(wide):
+        eight = eight << np.uint64(8) | padded[j : j + len(flat)]
+    ranks = np.unique(eight, return_inverse=True)[1].astype(np.uint64)
+    while wide < length:
+        step = min(wide, length - wide)
+        further = np.concatenate([ranks[step:] + np.uint64(1), np.zeros(min(step, len(ranks)), np.uint64)])[: len(ranks)]
+        ranks = np.unique(ranks << np.uint64(32) | further, return_inverse=True)[1].astype(np.uint64)
+        wide += step
+    return ranks
+
+
 def repeats_within(groups: list[list[tuple[int, int, bytes]]], length: int = LENGTH) -> list[tuple[int, int, int]]:
     """(doc_id, start, end) of windows that an earlier phrase of the same group holds; groups of (doc_id, place, phrase)."""
     rows = [r for g in groups for r in sorted(g)]
@@ -136,9 +161,10 @@ def repeats_within(groups: list[list[tuple[int, int, bytes]]], length: int = LEN
     at = np.flatnonzero(np.arange(len(flat)) + length < starts[1:][row])
     if not len(at):
         return []
-    hashes = range_hash(prefix_hash(flat), at, at + length)
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)  # the first in corpus order: equal windows are in one group
-    again = at[first[which] != np.arange(len(at))]
+    ranks = suffix_ranks(flat, length)[at]
+    order = np.argsort(ranks, kind="stable")  # the suffix array; of equal windows the first in corpus order leads, as equal ones are in one group
+    same = ranks[order[1:]] == ranks[order[:-1]]
+    again = np.sort(at[order[1:][same]])
     if not len(again):
         return []
     new = np.concatenate([[True], (again[1:] != again[:-1] + 1) | (row[again[1:]] != row[again[:-1]])])
@@ -153,28 +179,19 @@ def repeats_within(groups: list[list[tuple[int, int, bytes]]], length: int = LEN
 def _compared(groups: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                found = repeats_within([[(x["doc_id"], x["s"], x["phrase"]) for x in g] for g in batch.column("g").slice(k, 200).to_pylist()], length)
+            for k in range(0, batch.num_rows, GROUPS):
+                found = repeats_within([[(x["doc_id"], x["s"], x["phrase"]) for x in g] for g in batch.column("g").slice(k, GROUPS).to_pylist()], length)
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["doc_id", "start", "end"])
 
     return groups.select("g").mapInArrow(run, "doc_id long, start long, end long")
 
 
-def _bitmap(values: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each value of ``a``."""
-    slot = F.col("a").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = values.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(a & 63 as int))")).alias("bits")).toPandas()  # at most 2**(BITMAP_BITS - 6) rows
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return bitmap
-
-
 def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER, together: int = TOGETHER) -> DataFrame:
     """(doc_id, start, end): byte ranges covered by repeated windows; they may overlap."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     repeated = materialise(_triggers(docs, length, k).groupBy("a").count().where("count > 1").select("a"), "triggers")
-    held = materialise(_phrases(docs, _bitmap(repeated), length, k).join(repeated, "a", "left_semi"), "phrases")
+    held = materialise(_phrases(docs, bitmap_of(repeated), length, k).join(repeated, "a", "left_semi"), "phrases")
     dictionary = materialise(held.groupBy("a", "e").agg(F.min(F.struct("doc_id", "s", "n")).alias("first")), "dictionary")
     occurrence = held.join(dictionary, ["a", "e"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.s") != F.col("s")))
     later = materialise(occurrence.select("doc_id", F.col("s").alias("start"), (F.col("s") + F.col("n")).alias("end")), "later")
@@ -185,13 +202,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, k: int = TRIGGER, to
     mixed = materialise(_with_bytes(docs, places), "mixed")
     some = mixed.join(several.where(F.col("m") <= together).select("a"), "a", "left_semi")
     near = _compared(some.groupBy("a").agg(F.collect_list(F.struct("doc_id", "s", "phrase")).alias("g")), length)  # at most ``together`` phrases of 2 * length bytes
-    window = F.expr(f"substring(phrase, i + 1, {length})")
-    windows = mixed.join(several.where(F.col("m") > together).select("a"), "a", "left_semi").select("doc_id", "s", "phrase", F.explode(F.sequence(F.lit(0), F.length("phrase") - length)).alias("i"))
-    windows = materialise(windows.select(F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(5), window).alias("w2"), "doc_id", (F.col("s") + F.col("i")).alias("place")), "windows")
-    firsts = materialise(windows.groupBy("w1", "w2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "place")).alias("first")).where("c > 1").select("w1", "w2", "first"), "firsts")
-    far = windows.join(firsts, ["w1", "w2"]).where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
+    large = mixed.join(several.where(F.col("m") > together).select("a"), "a", "left_semi").select("doc_id", "s", "phrase", F.explode(F.sequence(F.lit(0), F.length("phrase") - length)).alias("i"))
+    windows = materialise(large.select(F.expr(f"substring(phrase, i + 1, {length})").alias("w"), "doc_id", (F.col("s") + F.col("i")).alias("place")), "windows")
+    firsts = materialise(windows.groupBy("w").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "place")).alias("first")).where("c > 1").select("w", "first"), "firsts")
+    far = windows.join(firsts, "w").where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.place") != F.col("place")))
     again = materialise(near.unionByName(far.select("doc_id", F.col("place").alias("start"), (F.col("place") + length).alias("end"))), "again")
-    discard(dictionary, mixed, windows)
+    discard(repeated, dictionary, several, mixed, windows, firsts)
     return later.unionByName(again)
 
 
