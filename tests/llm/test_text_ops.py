@@ -157,6 +157,43 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert empty.where("contaminated").count() == 0 and empty.count() == 62
 
 
+@pytest.mark.parametrize("most", [4096, 100])
+def test_decontamination_against_every_window(spark, most, monkeypatch):
+    """Recall of the latent search (rank below the passages) against the subsequence check of every window; groups; short items."""
+    monkeypatch.setattr(decontaminate, "GROUP", most)
+    rng = random.Random(29)
+    vocab = [words(rng, ROOTS["en"], 1) + words(rng, ROOTS["fr"], 1) for _ in range(1500)]
+
+    def some(n):
+        return [vocab[int(1500 * rng.random() ** 2)] for _ in range(n)]
+
+    items = [some(rng.choice([12, 20, 40, 60, 90])) for _ in range(240)] + [["lonely"], ["two", "words"], some(8)]
+    texts: list[str | None] = [None, "", "  "]
+    for k in range(160):
+        t = some(rng.randint(5, 300))
+        if k % 2:
+            x, lost = list(items[rng.randrange(240)]), rng.choice([0, 0.1, 0.2, 0.3])
+            x = [w for w in x for w in ([w] if rng.random() > lost else rng.choice([[], some(1), [w, *some(1)]]))]
+            at = rng.randrange(len(t))
+            t[at:at] = x
+        texts.append(" ".join(t))
+    texts += ["some lonely thing", "two other words two words", texts[-1], "x " * 60_000 + " ".join(items[5])]
+    ids, passages = decontaminate.item_passages(list(range(len(items))), [" ".join(x) for x in items])
+    want = set()
+    for d, t in enumerate(texts):
+        (h, first), listed = decontaminate.word_hashes([t]), [p.tolist() for p in passages]
+        for w in range(0, len(h), decontaminate.STRIDE):
+            window = h[w : w + decontaminate.WINDOW].tolist()
+            if len(set(window)) > 1:
+                want |= {(d, ids[p]) for p, x in enumerate(listed) if decontaminate.covers(x, window)}
+    df = frame(spark, texts).withColumnRenamed("source", "items").withColumnRenamed("size", "share")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], i["item_id"]) for r in decontaminate.decontaminate(df, bench).collect() for i in r["items"]}
+    assert got <= want and len(got) >= 0.97 * len(want) > 60
+    assert {(163, 240), (164, 241), (166, 5)} <= got
+    assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
+
+
 def test_packing():
     rng = random.Random(6)
     sizes = [rng.randint(1, 60) for _ in range(300)]
