@@ -1,8 +1,9 @@
 """Exact dedup by deterministic block naming.
 
-Every text is cut into blocks of a fixed number of characters. Distinct blocks are sorted and numbered;
-the numbers replace the blocks. Adjacent numbers are then paired, distinct pairs are sorted and numbered
-in turn, and so on until a text is one number. Equal (rounds, number) means equal text: names are given to
+Every text is cut into blocks of a fixed number of characters. Distinct blocks are sorted (by two hashes, then by
+bytes) and named by their rank; the names replace the blocks. Adjacent names are then paired, distinct pairs are
+sorted and named by rank in turn, and so on until a text is one name. A rank doesn't depend on how rows are
+partitioned, so neither do names. Equal (rounds, number) means equal text: names are given to
 whole contents, so two contents never share one.
 
 Block contents are brought together by a 128-bit hash but always told apart by their bytes: should two
@@ -27,9 +28,19 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _numbered(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Sorts the distinct keys within their partitions and numbers them; kept in a table, so numbers are final."""
-    return materialise(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), name)
+def _ranked(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The distinct keys with their rank in sorted order as ``name``: the same however the rows are partitioned.
+
+    Rows are sorted into ranges and numbered within each; the ranges before a range hold as many rows as their counts say.
+    """
+    at = materialise(distinct.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), f"{name}-sorted")
+    part, within = F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(at.groupBy(part.alias("part")).count().collect())  # one row for each partition
+    before = [(r["part"], sum(x["count"] for x in counts[:k])) for k, r in enumerate(counts)]
+    offsets = at.sparkSession.createDataFrame(before, "part int, before long")
+    ranked = materialise(at.join(F.broadcast(offsets), part == F.col("part")).select(*keys, (F.col("before") + within).alias("name")), name)
+    discard(at)
+    return ranked
 
 
 def block_names(docs: DataFrame, block_chars: int = BLOCK_CHARS, hash_bits: int = 64) -> DataFrame:
@@ -42,18 +53,21 @@ def block_names(docs: DataFrame, block_chars: int = BLOCK_CHARS, hash_bits: int
         .withColumn("h1", F.xxhash64("block").bitwiseAND(mask))
         .withColumn("h2", F.xxhash64(F.lit(7), F.col("block")).bitwiseAND(mask))
     )
-    # one shuffle of the text: distinct blocks, equal ones combined before it
-    names = _numbered(blocks.groupBy("h1", "h2", "block").agg(F.count("*").alias("n")), ["h1", "h2", "block"], "blocks")
-    per_hash = names.groupBy("h1", "h2").agg(F.count("*").alias("n_blocks"), F.min("name").alias("name"))
-    single = materialise(per_hash, "hashes")
+    # one shuffle of the text: distinct blocks, equal ones combined before it; of contents that share a hash the place among them by bytes
+    contents = materialise(blocks.groupBy("h1", "h2", "block").agg(F.count("*").alias("n")).drop("n"), "contents")
+    hashes = materialise(contents.groupBy("h1", "h2").agg(F.count("*").alias("n_blocks")), "hashes")
+    several = hashes.where("n_blocks > 1").select("h1", "h2")
+    by_bytes = contents.join(several, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.array_sort(F.collect_list("block")).alias("blocks"))  # contents of one 128-bit hash
+    clashes = materialise(by_bytes.select("h1", "h2", F.posexplode("blocks").alias("k", "block")), "clashes")
+    told_apart = hashes.where("n_blocks = 1").select("h1", "h2", F.lit(0).alias("k")).unionByName(clashes.select("h1", "h2", "k"))
+    names = _ranked(told_apart, ["h1", "h2", "k"], "blocks")
     at = blocks.select("doc_id", "pos", "h1", "h2")
-    level = at.join(single.where("n_blocks = 1").select("h1", "h2", "name"), ["h1", "h2"]).select("doc_id", "pos", "name")
-    clashes = single.where("n_blocks > 1").select("h1", "h2")
+    single = names.join(hashes.where("n_blocks = 1").select("h1", "h2"), ["h1", "h2"], "left_semi")
+    level = at.join(single.select("h1", "h2", "name"), ["h1", "h2"]).select("doc_id", "pos", "name")
     if clashes.head(1):
-        told_apart = blocks.join(clashes, ["h1", "h2"]).join(names.select("h1", "h2", "block", "name"), ["h1", "h2", "block"])
-        level = level.unionByName(told_apart.select("doc_id", "pos", "name"))
+        level = level.unionByName(blocks.join(clashes, ["h1", "h2", "block"]).join(names, ["h1", "h2", "k"]).select("doc_id", "pos", "name"))
     level = materialise(level, "level")
-    discard(names, single)
+    discard(contents, hashes, clashes, names)
     return _paired(level)
 
 
@@ -78,8 +92,10 @@ def _paired(level: DataFrame) -> DataFrame:
             .select("doc_id", F.col("pair").alias("pos"), "left", "right")
         )
         pairs = materialise(pairs, "pairs")
-        names = _numbered(pairs.groupBy("left", "right").agg(F.count("*").alias("n")), ["left", "right"], "pairnames").drop("n")
-        level = materialise(pairs.join(names, ["left", "right"]).select("doc_id", "pos", "name"), "level")
+        names = _ranked(pairs.select("left", "right").distinct(), ["left", "right"], "pairnames")
+        named = materialise(pairs.join(names, ["left", "right"]).select("doc_id", "pos", "name"), "level")
+        discard(pairs, names)
+        level = named
         rounds += 1
 
 
