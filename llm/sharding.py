@@ -1,16 +1,20 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups are equal texts. Group sizes are summed in the cluster. Groups of at least 1 / (shards * UNITS) of
-all bytes are units of their own; smaller groups are gathered by a hash into shards * UNITS bundles, which are
-units too. So there are at most 2 * shards * UNITS units at any input size, and only they come to the
-driver. Units sorted by size enter the bin with the tightest remaining capacity that holds them, found in
-a balanced tree; the least capacity for which the bins suffice is found by bisection.
-
-Law `bytes`: shard sizes are as equal as indivisible groups allow (a group larger than a fair share fills
-a shard alone).
+Groups are equal texts. Group sizes are summed in the cluster, and groups are counted by size: the driver packs
+runs of (size, number of groups), of which there are few, whatever the number of groups: distinct sizes add up to
+no more than all bytes, so there are at most sqrt(2 * bytes). Beyond EXACT bytes sizes count in units that
+keep that number below 2**19. Sizes descend; a group enters the bin with the tightest remaining capacity that
+holds it, found in a balanced tree. As that bin stays the tightest while it holds the size, a run is placed bin by
+bin, which puts every group where placing them one by one would. Groups of a size are told apart by their rank by
+digest, so each group goes to the bin that its place in the run has.
+
+Law `bytes`: shard sizes are as equal as indivisible groups allow: the least capacity for which ``shards`` bins
+suffice is found by bisection (a group larger than a fair share fills a shard alone). With a fixed capacity
+instead, as many shards as best-fit-decreasing opens.
 
 Edge cases: a null text counts no bytes and groups with the empty text; each row counts one byte more;
-repeated rows are one group; extra columns are ignored; an empty table gives an empty result.
+repeated rows are one group; extra columns are ignored; an empty table gives an empty result; groups of one size
+are placed by digest, so ties don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from pyspark.sql.window import Window
 
 from .common import discard, materialise, table
 
-UNITS = 512
-SLOT_ROWS = 50_000
+EXACT = 1 << 36
+PART_ROWS = 50_000
 
 
 class CapacityTree:
@@ -72,81 +76,102 @@ class CapacityTree:
         return key
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item, bins of one capacity, opened as needed; items larger than it get bins of their own."""
-    tree, opened, out = CapacityTree(), 0, [0] * len(sizes)
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        found = tree.take_tightest(sizes[k])
-        if found is None:
-            found, opened = (capacity, opened), opened + 1
-        out[k] = found[1]
-        tree.add(found[0] - sizes[k], found[1])
+Run = tuple[int, int]  # size of a group, number of groups
+
+
+def best_fit_decreasing(runs: list[Run], capacity: int, bins: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """(bin, number of groups) in order for each run (sizes descend), bins of one capacity, opened as needed.
+
+    Groups larger than the capacity get bins of their own. None if more than ``bins`` bins are needed.
+    """
+    tree, opened, out = CapacityTree(), 0, []
+    for size, left in runs:
+        places: list[tuple[int, int]] = []
+        while left:
+            found = tree.take_tightest(size)
+            if found is None:
+                if opened == bins:
+                    return None
+                found, opened = (capacity, opened), opened + 1
+            room, number = found
+            n = min(left, max(1, room // size))
+            tree.add(room - n * size, number)
+            places.append((number, n))
+            left -= n
+        out.append(places)
     return out
 
 
-def pack_into(sizes: list[int], bins: int) -> list[int]:
+def pack_into(runs: list[Run], bins: int) -> list[list[tuple[int, int]]]:
     """Best-fit decreasing with the least capacity (by bisection) that needs no more than ``bins`` bins.
 
-    An item of a fair share of what is left or more has a bin to itself, so it does not widen the others.
+    A group of a fair share of what is left or more has a bin to itself, so it does not widen the others.
     """
-    out, total = [0] * len(sizes), sum(sizes)
-    todo = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
-    alone = 0
-    while bins - alone > 1 and alone < len(todo) and sizes[todo[alone]] * (bins - alone) >= total:
-        out[todo[alone]] = alone
-        total -= sizes[todo[alone]]
-        alone += 1
-    rest = todo[alone:]
-    some = [sizes[k] for k in rest]
-    low, high = max(-(-total // (bins - alone)), max(some, default=0)), total + 1
-    best = best_fit_decreasing(some, high)
+    total = sum(s * n for s, n in runs)
+    rest, alone, out = [list(r) for r in runs], 0, [[] for _ in runs]
+    for k, r in enumerate(rest):
+        while r[1] and bins - alone > 1 and r[0] * (bins - alone) >= total:
+            out[k].append((alone, 1))
+            total -= r[0]
+            alone, r[1] = alone + 1, r[1] - 1
+        if r[1]:
+            break
+    some = [(s, n) for s, n in rest]
+    largest = max((s for s, n in some if n), default=0)
+    low = max(-(-total // (bins - alone)), largest)
+    high = low + largest  # enough: all bins but one are filled to within the largest group, or none is left over
+    best = None
+    while best is None:
+        best, high = best_fit_decreasing(some, high, bins - alone), 2 * high
+    high //= 2
     while low < high:
         middle = (low + high) // 2
-        packed = best_fit_decreasing(some, middle)
-        if max(packed, default=0) < bins - alone:
+        packed = best_fit_decreasing(some, middle, bins - alone)
+        if packed is not None:
             best, high = packed, middle
         else:
             low = middle + 1
-    for k, b in zip(rest, best, strict=True):
-        out[k] = alone + b
-    return out
+    return [[*o, *((alone + b, n) for b, n in places)] for o, places in zip(out, best, strict=True)]
+
+
+def _numbered(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Numbers the rows of each key without a gap in column ``name``: within parts by hash of ``order``, behind the parts before."""
+    parts = max(256, rows.count() // PART_ROWS)
+    cut = materialise(rows.withColumn("part", F.pmod(F.xxhash64(order), F.lit(parts)).cast("int")), "cut")
+    counts = cut.groupBy(*keys, "part").count()
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    offsets = materialise(counts.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).select(*keys, "part", "offset"), "offsets")
+    within = Window.partitionBy(*keys, "part").orderBy(order)
+    return cut.withColumn(name, F.row_number().over(within).cast("long") - 1).join(offsets, [*keys, "part"]).withColumn(name, F.col(name) + F.col("offset")).drop("part", "offset")
 
 
-def shard(docs: DataFrame, shards: int = 16, units: int = UNITS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per document."""
+def shard(docs: DataFrame, shards: int = 16, capacity: int | None = None, exact: int = EXACT) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per document; ``capacity`` in place of ``shards``."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = materialise(
         docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group")),
         "rows",
     )
-    groups = materialise(rows.groupBy("group").agg(F.sum("size").alias("size")), "sizes")
-    total = groups.agg(F.sum("size")).head()[0] or 0
-    bundles = shards * units
-    large = total // bundles
-    # a group is a unit of its own or goes into a bundle: units are keyed by the group or by the bundle's number
-    unit = groups.withColumn("unit", F.when(F.col("size") > large, F.hex("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("string")))
-    unit = materialise(unit, "unit")
-    found = unit.groupBy("unit").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "unit").collect()  # at most 2 * bundles rows
-    assert len(found) <= 2 * bundles
-    packed = pack_into([r["size"] for r in found], shards)
-    bins = spark.createDataFrame([(r["unit"], b) for r, b in zip(found, packed, strict=True)], "unit string, shard int")
-    # sizes of units are bounded by the assertion above
-    where = materialise(unit.join(F.broadcast(bins), "unit").select("group", "shard"), "where")
-    placed = materialise(rows.join(where, "group").select("doc_id", "size", "text_crc32", "shard"), "placed")
-    discard(rows, groups, unit)
-    return _slots(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _slots(placed: DataFrame) -> DataFrame:
-    """Numbers the rows of each shard without a gap: within parts of a shard, behind the parts before."""
-    parts = max(256, placed.count() // SLOT_ROWS)
-    cut = materialise(placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), "cut")
-    counts = cut.groupBy("shard", "part").count()
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
-    offsets = materialise(counts.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).select("shard", "part", "offset"), "offsets")
-    within = Window.partitionBy("shard", "part").orderBy("doc_id")
-    return cut.withColumn("slot", F.row_number().over(within).cast("long") - 1).join(offsets, ["shard", "part"]).withColumn("slot", F.col("slot") + F.col("offset"))
+    sizes = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
+    unit = max(1, (rows.agg(F.sum("size")).head()[0] or 0) // exact)
+    groups = materialise(sizes.select("group", F.ceil(F.col("bytes") / unit).cast("long").alias("units")), "groups")
+    counted = groups.groupBy("units").count().orderBy(F.desc("units")).collect()  # distinct sizes: at most 2**19
+    runs = [(r["units"], r["count"]) for r in counted]
+    packed = pack_into(runs, shards) if capacity is None else best_fit_decreasing(runs, max(1, capacity // unit))
+    spans = []
+    for (size, _), places in zip(runs, packed, strict=True):
+        first = 0
+        for number, n in places:
+            spans.append((size, first, first + n, number))
+            first += n
+    # at most one row for each size and bin, less what bins too full for a size leave out
+    where = spark.createDataFrame(spans, "units long, first long, last long, shard int")
+    ranked = _numbered(groups, ["units"], "group", "rank")
+    chosen = materialise(ranked.join(where, (ranked["units"] == where["units"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select("group", "shard"), "where")
+    placed = materialise(rows.join(chosen, "group").select("doc_id", "size", "text_crc32", "shard"), "placed")
+    discard(rows, groups, chosen)
+    return _numbered(placed, ["shard"], "doc_id", "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
