@@ -1,22 +1,30 @@
 """License scan in DataFrame operations alone: TF-IDF cosine to templates, then inheritance by directory.
 
-1. Document frequencies of all words are counted over all texts. Weights follow a word's share of the texts,
-   with RAREST as the least, so a header's cosine does not depend on the size of the table.
-2. Lines that hold a template term other than a stopword, and the whole texts of their files, are compared
-   with every template by the cosine of sparse TF-IDF vectors. A line of HEADER or more gives its file a license; a file
-   whose whole text reaches WHOLE is a license file, as is one named so whose lines give a license.
-3. A file without a license of its own takes that of the license file in its nearest directory upwards. Each
+Templates are the sentences by which texts declare a license, and whole license texts.
+
+1. One pass over the texts. Each is split into words once; what is kept of it are the template terms it holds, its
+   number of distinct words, and its statements: places where at least two of MARKS, words of license
+   statements, stand no more than GAP words apart, with the statement terms around them. So a statement is found
+   wherever lines break. Texts without such a place keep none.
+2. Weights: a template term weighs by its document frequency over all texts, any other word as if a share of
+   RAREST held it, so a cosine doesn't depend on the size of the table. A word counts once for a statement or text.
+3. Statements and whole texts are compared with every template by the cosine of sparse TF-IDF vectors, equal ones
+   (same terms, same number of words) once. A statement of HEADER or more, or a whole text of WHOLE or more,
+   gives its file a license; a file whose whole text reaches WHOLE is a license file, as is one named so that has a license.
+4. A file without a license of its own takes that of the license file in its nearest directory upwards. Each
    distinct directory is resolved once, by an equi-join of its ancestors with the directories of license
    files; files then join their directory.
 
 Edge cases: null or empty text has no license of its own, and may inherit; several licenses in a file: the
 highest cosine wins, then the smaller name; several license files in a directory: the highest cosine, then
-the smaller path; a null path has no directory; rows that repeat are scanned each; extra columns are ignored.
+the smaller path; a null path has no directory; rows that repeat are scanned each (the key must tell rows apart
+no further than that equal keys share a result); extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,36 +32,69 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, table
 
 HEADER = 0.6
-WHOLE = 0.5
+WHOLE = 0.7
 RAREST = 0.001  # share of texts below which words weigh the same
-#: Words of the templates by which no line is picked for comparison, however rare they are in a table
-STOPWORDS = {"a", "any", "by", "except", "for", "in", "into", "is", "may", "not", "of", "or", "the", "this", "to", "under", "v", "with", "you"}
+GAP = 8  # words from a mark to the next of a statement at most
+BESIDE = 12  # statement terms on either side of the marks that may belong to a statement
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
+#: Words of which every license statement has two
+MARKS = [
+    "affero", "agpl", "apache", "bsd", "cc", "cc0", "commons", "copyright", "creative", "domain", "gnu", "gpl", "granted", "hereby", "identifier",
+    "isc", "lgpl", "liability", "licence", "license", "licensed", "merchantability", "mit", "mozilla", "mpl", "noninfringement", "permission",
+    "permitted", "redistribution", "redistributions", "unlicense", "warranties", "warranty", "zlib",
+]
+
 #: License names and statements by which texts declare them
-TEMPLATES = [
+STATEMENTS = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License (CC BY 4.0)"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "Released into the public domain under CC0 1.0"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
     ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
+#: Whole license texts
+TEXTS = [
+    ("BSD-2-Clause", f"{_BSD_CONDITIONS} {_BSD_AS_IS}"),
+    ("BSD-3-Clause", f"{_BSD_CONDITIONS} {_BSD_NAMES} {_BSD_AS_IS}"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT", f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
+    ("Unlicense", f"This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. {_AS_IS}"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+]
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def template_terms() -> list[tuple[int, str, list[str]]]:
+    """(template, license, distinct terms) of all templates; they are ASCII, where this split equals words()."""
+    return [(k, name, sorted(set(re.findall("[a-z0-9]+", text.lower())))) for k, (name, text) in enumerate([*STATEMENTS, *TEXTS])]
+
+
 def _values(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     def literal(v: object) -> str:
         return repr(float(v)) + "D" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "\\'") + "'"
@@ -61,66 +102,82 @@ def _values(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFra
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)} AS t({', '.join(names)})")
 
 
-def _template_terms(spark: SparkSession) -> list[tuple[int, str, str, int]]:
-    """(template, license, term, count) of all templates."""
-    rows = _values(spark, [(k, name, text) for k, (name, text) in enumerate(TEMPLATES)], ["template", "license", "text"])
-    terms = rows.select("template", "license", F.explode(words(F.col("text"))).alias("term")).groupBy("template", "license", "term").count()
-    return [tuple(r) for r in terms.orderBy("template", "term").collect()]
+def _literals(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _statements(w: Column, near: list[str]) -> Column:
+    """The words of each statement in an array of words: marks of GAP words at most apart, and the terms of ``near`` beside them."""
+    marks = F.filter(F.transform(w, lambda x, i: F.when(x.isin(MARKS), i)), lambda i: i.isNotNull())
+    first = F.filter(marks, lambda i, k: (k == 0) | (i - F.get(marks, k - 1) > GAP))
+    last = F.filter(marks, lambda i, k: (k == F.size(marks) - 1) | (F.get(marks, k + 1) - i > GAP))
+
+    def beside(x: Column) -> Column:
+        """How many words from the start of x are statement terms."""
+        stop = F.array_position(F.transform(x, lambda v: v.isin(near)), False)
+        return F.when(stop == 0, F.size(x)).otherwise(stop - 1).cast("int")
+
+    def cut(span: Column) -> Column:
+        a, b = span["0"], span["1"]
+        left = beside(F.reverse(F.slice(w, F.greatest(F.lit(1), a - BESIDE + 1), F.least(F.lit(BESIDE), a))))
+        right = beside(F.slice(w, b + 2, F.lit(BESIDE)))
+        return F.slice(w, a - left + 1, b - a + 1 + left + right)
+
+    spans = F.arrays_zip(first.alias("0"), last.alias("1"))
+    return F.transform(F.filter(spans, lambda s: s["1"] > s["0"]), cut)
 
 
 def license_scan(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, path, license, score, origin, inherited_from) from rows of (key, path, text); origin is header, inherited or none."""
     spark = files.sparkSession
     files = files.select(F.col(key).alias("id"), "path", F.coalesce("text", F.lit("")).alias("text"))
-    terms = _template_terms(spark)
-    vocabulary = sorted({t for _, _, t, _ in terms})
-    known = F.array(*[F.lit(t) for t in vocabulary])
-
-    # words of more than a share of RAREST: their number does not grow with the table; all others weigh the same
-    n = files.count()
-    # explode_outer: explode would have Spark infer a filter that splits every text once more
-    each = files.select(F.explode_outer(F.array_distinct(words(F.col("text")))).alias("term")).where("term IS NOT NULL")
-    seen = materialise(each.groupBy("term").count(), "terms")
-    fewest = seen.agg(F.min("count")).head()[0] or 0
-    share = max(RAREST, fewest / max(n, 1))  # no word counts as rarer than the table's rarest
-    rare = 1 - math.log(share)
-    common = materialise(seen.where(F.col("count") > share * n).select("term", (1 - F.log(F.col("count") / n)).alias("idf")), "common")
-    discard(seen)
-    idf = dict.fromkeys(vocabulary, rare) | {r["term"]: r["idf"] for r in common.where(F.col("term").isin(vocabulary)).collect()}
-    norms: dict[int, float] = {}
-    for k, _, t, c in terms:
-        norms[k] = norms.get(k, 0.0) + (c * idf[t]) ** 2
-    weights = _values(spark, [(k, name, t, c * idf[t] / math.sqrt(norms[k])) for k, name, t, c in terms], ["template", "license", "term", "weight"])
-    strong = F.array(*[F.lit(t) for t in vocabulary if t not in STOPWORDS and not t.isdigit()])
-
-    lines = F.transform(F.split("text", r"\r?\n"), lambda line, k: F.struct(k.alias("unit"), words(line).alias("words")))
-    def best(units: DataFrame) -> DataFrame:
-        """(id, b): the best template of any of a file's units."""
-        tf = units.select("id", "unit", F.explode_outer("words").alias("term")).where("term IS NOT NULL").groupBy("id", "unit", "term").agg(F.count("*").alias("tf"))
-        weighed = tf.join(F.broadcast(common), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-        norm = weighed.groupBy("id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-        dot = weighed.join(F.broadcast(weights), "term").groupBy("id", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-        cosine = dot.join(norm, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
-        return cosine.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"))
-
-    marked = files.select("id", F.explode_outer(F.filter(lines, lambda x: F.arrays_overlap(x["words"], strong))).alias("u")).where("u IS NOT NULL").select("id", "u.unit", "u.words")
-    headers = materialise(best(marked).select("id", (-F.col("b.neg")).alias("score"), "b.license").where(F.col("score") >= HEADER), "headers")
-    # only a file with a license of its own may be a license file
-    wholes = files.join(headers, "id", "left_semi").select("id", F.lit(-1).alias("unit"), words(F.col("text")).alias("words"))
-    own = materialise(headers.join(best(wholes).select("id", (-F.col("b.neg")).alias("whole")), "id", "left"), "own")
+    templates = template_terms()
+    vocabulary = sorted({t for _, _, terms in templates for t in terms})
+    near = sorted({t for k, _, terms in templates if k < len(STATEMENTS) for t in terms})
+
+    known, marks = _literals(vocabulary), _literals(MARKS)
+    split = files.select("id", "path", words(F.col("text")).alias("w"))
+    distinct = split.select("id", "path", "w", F.array_distinct("w").alias("d"))
+    held = distinct.select("id", "path", "w", F.size("d").alias("n"), F.array_sort(F.array_intersect("d", known)).alias("terms"))
+    unit = F.transform("u", lambda x: F.struct(F.array_sort(F.array_intersect(x, known)).alias("terms"), F.size(F.array_distinct(x)).alias("n")))
+    found = held.select("id", "path", "n", "terms", F.when(F.size(F.array_intersect("terms", marks)) > 1, _statements(F.col("w"), near)).otherwise(F.array()).alias("u"))
+    scanned = materialise(found.select("id", "path", "n", "terms", unit.alias("units")), "words")
+
+    n = scanned.count()
+    counts = scanned.select(F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("term").count()
+    df = {r["term"]: r["count"] for r in counts.collect()}  # at most the vocabulary
+    idf = {t: 1 - math.log(max(df.get(t, 0) / max(n, 1), RAREST)) for t in vocabulary}
+    rare = 1 - math.log(RAREST)
+    norms = {k: math.sqrt(sum(idf[t] ** 2 for t in terms)) for k, _, terms in templates}
+    weights = _values(spark, [(k, name, t, idf[t], idf[t] / norms[k]) for k, name, terms in templates for t in terms], ["template", "license", "term", "idf", "weight"])
+    own_weights = _values(spark, [(t, idf[t] ** 2) for t in vocabulary], ["term", "square"])
+
+    whole = scanned.where(F.size("terms") > 0).where(F.size(F.array_intersect("terms", marks)) > 1).select("id", F.lit(True).alias("whole"), "terms", "n")
+    units = whole.unionByName(scanned.select("id", F.explode_outer("units").alias("u")).where("u IS NOT NULL").select("id", F.lit(False).alias("whole"), "u.terms", "u.n"))
+    kinds = materialise(units.groupBy("terms", "n").agg(F.max("whole").alias("any")).select("terms", "n", F.monotonically_increasing_id().alias("kind")), "kinds")
+    each = kinds.select("kind", F.size("terms").alias("held"), "n", F.explode("terms").alias("term"))
+    norm = each.join(F.broadcast(own_weights), "term").groupBy("kind").agg(F.sqrt(F.sum("square") + (F.max("n") - F.max("held")) * rare**2).alias("norm"))
+    dot = each.join(F.broadcast(weights), "term").groupBy("kind", "template", "license").agg(F.sum(F.col("idf") * F.col("weight")).alias("dot"))
+    cosine = dot.join(norm, "kind").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
+    best = cosine.groupBy("kind").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b")).where(-F.col("b.neg") >= min(HEADER, WHOLE))
+    scored = materialise(kinds.join(best, "kind").select("terms", "n", (-F.col("b.neg")).alias("score"), "b.license"), "scored")
+    given = units.join(scored, ["terms", "n"]).where(F.col("score") >= F.when(F.col("whole"), WHOLE).otherwise(HEADER))
+    own = given.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"), F.max(F.when(F.col("whole"), F.col("score"))).alias("whole"))
+    own = materialise(own.select("id", (-F.col("b.neg")).alias("score"), "b.license", "whole"), "own")
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
-    scanned = materialise(files.select("id", "path", directory.alias("dir")).join(own, "id", "left"), "scanned")
+    files = materialise(scanned.select("id", "path", directory.alias("dir")).join(own, "id", "left"), "files")
+    discard(scanned, kinds, scored, own)
 
-    license_files = scanned.where(F.col("license").isNotNull() & ((F.col("whole") >= WHOLE) | F.col("path").rlike(FILE_NAMES)))
+    license_files = files.where(F.col("license").isNotNull() & ((F.col("whole") >= WHOLE) | F.col("path").rlike(FILE_NAMES)))
     at = license_files.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("neg"), "path", "license")).alias("f"))
     at = materialise(at.select(F.col("dir").alias("ancestor"), F.col("f.path").alias("from"), F.col("f.license").alias("given"), (-F.col("f.neg")).alias("given_score")), "at")
     steps = F.split("dir", "/")
-    dirs = scanned.where("dir IS NOT NULL").select("dir").distinct()
+    dirs = files.where("dir IS NOT NULL").select("dir").distinct()
     ancestors = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.size(steps))).alias("depth")).withColumn("ancestor", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
     nearest = ancestors.join(at, "ancestor").groupBy("dir").agg(F.max_by(F.struct("from", "given", "given_score"), "depth").alias("near"))
     nearest = materialise(nearest, "nearest")
     inherits = F.col("license").isNull() & F.col("near").isNotNull()
-    return scanned.join(nearest, "dir", "left").select(
+    return files.join(nearest, "dir", "left").select(
         F.col("id").alias(key),
         "path",
         F.coalesce("license", "near.given").alias("license"),

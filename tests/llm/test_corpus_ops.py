@@ -1,6 +1,7 @@
 """Operators that compare documents, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -287,6 +288,81 @@ def test_license_scan_does_not_depend_on_the_size_of_the_table(spark):
     assert [found[0][k][0] for k in range(3)] == ["MIT", "Apache-2.0", None]
 
 
+def brute_licenses(texts):
+    """Own license and score of each text by the definition in the module's docstring."""
+    L = license_scan
+    templates = L.template_terms()
+    vocabulary = {t for _, _, terms in templates for t in terms}
+    near = {t for _, _, terms in templates[: len(L.STATEMENTS)] for t in terms}
+    split = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    n = len(texts)
+    idf = {t: 1 - math.log(max(sum(t in w for w in split) / n, L.RAREST)) for t in vocabulary}
+    rare = 1 - math.log(L.RAREST)
+
+    def best(unit):
+        held, out = set(unit) & vocabulary, (0.0, None)
+        norm = math.sqrt(sum(idf[t] ** 2 for t in held) + rare**2 * len(set(unit) - held))
+        for _, name, terms in templates:
+            dot = sum(idf[t] ** 2 for t in terms if t in held) / math.sqrt(sum(idf[t] ** 2 for t in terms))
+            out = min(out, (-round(dot / norm, 6), name), key=lambda x: (x[0], x[1] or "~"))
+        return -out[0], out[1]
+
+    found = []
+    for w in split:
+        options = []
+        if len(set(w) & set(L.MARKS)) > 1:
+            options += [x for x in [best(w)] if x[0] >= L.WHOLE]
+        marks = [i for i, x in enumerate(w) if x in L.MARKS]
+        runs = [[marks[0]]] if marks else []
+        for i in marks[1:]:
+            runs[-1].append(i) if i - runs[-1][-1] <= L.GAP else runs.append([i])
+        for run in runs:
+            if len(run) > 1:
+                a, b = run[0], run[-1] + 1
+                low, high = max(0, a - L.BESIDE), min(len(w), b + L.BESIDE)
+                while a > low and w[a - 1] in near:
+                    a -= 1
+                while b < high and w[b] in near:
+                    b += 1
+                options += [x for x in [best(w[a:b])] if x[0] >= L.HEADER]
+        found.append(min(((-s, name) for s, name in options), default=(0, None)))
+    return [(name, -s) for s, name in found]
+
+
+def test_license_scan_against_brute_force(spark):
+    rng = random.Random(31)
+    L = license_scan
+    vocab = [w for _, _, terms in L.template_terms() for w in terms] + [f"word{k}" for k in range(300)] + L.MARKS
+    texts: list[str | None] = [None, "", "license license", "MIT"]
+    for k in range(150):
+        t = [rng.choice(vocab) for _ in range(rng.randint(1, 60))]
+        if k % 3:
+            x = rng.choice([*L.STATEMENTS, *L.TEXTS])[1].split()
+            x = [w for w in x if rng.random() > 0.08]
+            at = rng.randrange(len(t))
+            t = x if k % 3 == 1 else [*t[:at], *x, *t[at:]]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", ", "]) for w in t))
+    texts.append("word5 " * 30_000 + "released under the MIT license" + " word7" * 30_000)
+    df = spark.createDataFrame([(k, f"{k}/x.txt", t, "clash", 2) for k, t in enumerate(texts)], "doc_id long, path string, text string, terms string, n int")
+    got = {r["doc_id"]: (r["license"], r["score"]) for r in L.license_scan(df).where("origin <> 'inherited'").collect()}
+    want = brute_licenses(texts)
+    assert len({name for name, _ in want}) > 8 and want[-1][0] == "MIT"
+    for k, (name, score) in enumerate(want):
+        assert got[k] == (name, pytest.approx(score, abs=2e-6)), (k, texts[k])
+
+
+def test_templates_hold_marks():
+    for _, text in [*license_scan.STATEMENTS, *license_scan.TEXTS]:
+        assert len(set(re.findall("[a-z0-9]+", text.lower())) & set(license_scan.MARKS)) > 1, text
+
+
+def test_license_texts_are_license_files(spark):
+    texts = dict(license_scan.TEXTS)
+    rows = [(k, f"{k}/any.txt", f"Copyright (c) 2020 Somebody\n\n{text}") for k, text in enumerate(texts.values())] + [(50 + k, f"{k}/src/x.py", "print()") for k in range(len(texts))]
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {k: (name, "header") for k, name in enumerate(texts)} | {50 + k: (name, "inherited") for k, name in enumerate(texts)}
+
+
 def test_substring_dedup_of_short_shared_lines(spark):
     rng = random.Random(11)
     vocab = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(5000)]
