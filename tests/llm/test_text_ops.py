@@ -1,6 +1,7 @@
 """Row-wise operators against the tokenizers library, labels and brute force."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -111,6 +112,69 @@ def test_toxicity_held_out(spark):
     assert none.agg(F.max("predicted")).head()[0] == 0
 
 
+def insults(rng, share):
+    """Texts and labels; a family of words with a stem, and single terms."""
+    texts, toxic = [], []
+    for k in range(400):
+        t = words(rng, ROOTS["en"], 40).split()
+        if rng.random() < share:
+            t.insert(rng.randrange(40), rng.choice(["scoundrel", "villain", "idiot", "idiots", "idiotic"]))
+        texts.append(" ".join(t))
+        toxic.append(int(len(t) > 40))
+    return texts, toxic
+
+
+def test_toxicity_fit_and_score_against_brute_force(spark):
+    texts, toxic = insults(random.Random(12), 0.3)
+    df = frame(spark, texts)
+    labels = spark.createDataFrame([(k, x) for k, x in enumerate(toxic)] + [(0, 1 - toxic[0]), (1, None)], "doc_id long, toxic int")
+    toxic[0] = 1  # conflicting labels count as toxic
+    lex = toxicity.fit(df, labels)
+    sets = [set(t.lower().split()) for t in texts]
+    bad, good = sum(toxic), len(toxic) - sum(toxic)
+
+    def counts(test):
+        return [sum(test(s) for s, t in zip(sets, toxic, strict=True) if t == x) for x in (1, 0)]
+
+    def strong(t, c):
+        return t >= max(3, bad // 300) and np.log((t + 0.5) / (bad + 1)) - np.log((c + 0.5) / (good + 1)) >= toxicity.LEAST_RATIO
+
+    terms = {w for w in set().union(*sets) if strong(*counts(lambda s, w=w: w in s))}
+    assert {"scoundrel", "villain", "idiot", "idiots", "idiotic"} <= terms
+    stems = [x for x in lex.stems if "idiot".startswith(x)]
+    assert len(stems) == 1 and set(lex.words) | set(lex.behind) == terms and set(lex.behind) == {w for w in terms if any(w.startswith(x) for x in lex.stems)}
+    for term in lex.words:
+        t, c = counts(lambda s, w=term: w in s)
+        assert lex.weights[term, "exact"] == pytest.approx(np.log((t + 0.5) / (bad + 1)) - np.log((c + 0.5) / (good + 1)))
+    lex.prepare()
+    fuzzy = sorted(w for w in terms if len(w) >= toxicity.FUZZY_LEAST)
+    for w in ["scoundrol", "1diotic", "idjot", "idiotism", "scoundrel", "vilain", "plain", "xvillainx", "i"]:
+        if w in lex.words:
+            want = [(w, "exact")]
+        elif any(w.startswith(x) for x in lex.stems):
+            want = [(x, "stem") for x in lex.stems if w.startswith(x)]
+        else:
+            want = sorted({(lex.term_of(t), w) for t in fuzzy if brute_distance(w, t) <= 1})
+        assert list(lex.of_word(w)) == want, w
+    assert lex.of_word("idjot") == ((stems[0], "idjot"),)
+    scored = {r["doc_id"]: r for r in toxicity.score_toxicity(df, lex).collect()}
+    for k, s in enumerate(sets):
+        total = sum(lex.weight(*m) for m in sorted({m for w in s for m in lex.of_word(w)}))
+        z = lex.logit[0] + lex.logit[1] * total
+        assert scored[k]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_toxicity_of_misspelled_terms_alone(spark):
+    texts, toxic = insults(random.Random(13), 0.3)
+    more = ["well you 1diot go home", "such an idjot he was", "a scoundre1 came by", "that vilain again", "a plain and friendly text", "x" * 100_000 + " scoundrol"]
+    df = frame(spark, [*texts, *more]).withColumnRenamed("source", "toxic").withColumnRenamed("size", "score").withColumnRenamed("shard", "terms")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.toxicity(df, labels).collect()}
+    assert [out[400 + k]["predicted"] for k in range(6)] == [1, 1, 1, 1, 0, 1]
+    assert toxicity.toxicity(df.limit(0), labels).count() == 0
+    assert toxicity.toxicity(df, labels.limit(0)).agg(F.max("score")).head()[0] < 1e-6
+
+
 def test_quotation_counts_apart():
     text = 'he said "you scoundrel" to me'
     at = text.index("scoundrel")
@@ -194,36 +258,59 @@ def test_decontamination_against_every_window(spark, most, monkeypatch):
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
 
 
+def one_by_one(sizes, capacity):
+    """Best-fit decreasing, every bin looked at for every item."""
+    left, out = {}, []
+    for s in sorted(sizes, reverse=True):
+        fits = [(c, b) for b, c in left.items() if c >= s]
+        b = min(fits)[1] if fits else len(left)
+        left[b] = left.get(b, capacity) - s
+        out.append((s, b))
+    return out
+
+
+def as_runs(sizes):
+    return sorted(((s, sizes.count(s)) for s in set(sizes)), reverse=True)
+
+
+def flat(runs, packed):
+    return [(s, b) for (s, _), places in zip(runs, packed, strict=True) for b, n in places for _ in range(n)]
+
+
 def test_packing():
     rng = random.Random(6)
-    sizes = [rng.randint(1, 60) for _ in range(300)]
-    bins = best_fit_decreasing(sizes, 100)
-    load = {}
-    left = {}
-    for k in sorted(range(300), key=lambda k: (-sizes[k], k)):  # brute force: the tightest bin that fits
-        fits = [(c, b) for b, c in left.items() if c >= sizes[k]]
-        b = min(fits)[1] if fits else len(left)
-        left[b] = left.get(b, 100) - sizes[k]
-        load[k] = b
-    assert bins == [load[k] for k in range(300)]
-    packed = pack_into(sizes, 8)
-    total = [sum(s for s, b in zip(sizes, packed, strict=True) if b == j) for j in range(8)]
-    assert max(packed) == 7 and max(total) - min(total) <= 8
-
-
-def test_sharding(spark):
-    texts = ["x" * 500] * 40 + [f"text {k} " * (k % 30) for k in range(400)] + [None, ""]
-    out = shard(frame(spark, texts), shards=4, units=32).collect()
-    assert len(out) == 442
-    by_text = {}
+    for high in (20, 60, 150):
+        sizes = [rng.randint(1, high) for _ in range(300)]
+        runs = as_runs(sizes)
+        assert flat(runs, best_fit_decreasing(runs, 100)) == one_by_one(sizes, 100)
+        packed = flat(runs, pack_into(runs, 8))
+        total = [sum(s for s, b in packed if b == j) for j in range(8)]
+        assert sorted(s for s, _ in packed) == sorted(sizes) and max(total) - min(total) <= 8
+        assert all(max(b for _, b in one_by_one(sizes, c)) >= 8 for c in range(max(total) - 3, max(total)))  # the least capacity
+    assert pack_into([], 4) == [] and flat([(900, 1), (5, 7)], pack_into([(900, 1), (5, 7)], 3))[0] == (900, 0)
+
+
+@pytest.mark.parametrize("options", [{"shards": 4}, {"capacity": 6000}, {"shards": 4, "exact": 2000}])
+def test_sharding(spark, options):
+    texts = ["x" * 500] * 40 + [f"text {k} " * (k % 30) for k in range(400)] + [None, "", "y" * 3000]
+    out = shard(frame(spark, texts), **options).collect()
+    assert len(out) == 443
+    by_text, weights = {}, {}
     for r in out:
-        by_text.setdefault(texts[r["doc_id"]] or "", set()).add(r["shard"])
-        assert r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1
+        t = texts[r["doc_id"]] or ""
+        by_text.setdefault(t, set()).add(r["shard"])
+        weights[t] = weights.get(t, 0) + r["size"]
+        assert r["size"] == len(t.encode()) + 1 and r["text_crc32"] == zlib.crc32(t.encode())
     assert all(len(s) == 1 for s in by_text.values())
-    for j in range(4):
+    for j in {r["shard"] for r in out}:
         slots = sorted(r["slot"] for r in out if r["shard"] == j)
         assert slots == list(range(len(slots)))
-    sizes = [sum(r["size"] for r in out if r["shard"] == j) for j in range(4)]
-    sizes.remove(max(sizes))  # the large group's shard
-    assert max(sizes) - min(sizes) < 0.02 * sum(sizes)
+    if "exact" not in options:  # as every group one by one, up to which group of a size goes where
+        runs = as_runs(list(weights.values()))
+        want = one_by_one(list(weights.values()), 6000) if "capacity" in options else flat(runs, pack_into(runs, 4))
+        assert sorted((weights[t], next(iter(b))) for t, b in by_text.items()) == sorted(want)
+    else:
+        sizes = [sum(r["size"] for r in out if r["shard"] == j) for j in range(4)]
+        sizes.remove(max(sizes))  # the large group's shard
+        assert max(sizes) - min(sizes) < 0.1 * sum(sizes)
     assert shard(frame(spark, []), shards=4).count() == 0
