@@ -20,16 +20,24 @@ def reading_order(items: DataFrame, screen: str = "screen_id", order: str = "ord
     screens = items.groupBy(screen).agg(F.sort_array(F.collect_list(each)).alias("items"))
     heights = F.array_sort(F.transform("items", lambda i: i["high"]))
     tolerance = F.element_at(heights, (F.floor(F.size("items") / 2) + 1).cast("int")) * 0.5
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("anchor"), F.array().cast("array<struct<row: int, x1: double, cy: double, k: bigint>>").alias("out"))
+    # the fold keeps the place and centre of each row's first item alone
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("anchor"), F.array().cast("array<int>").alias("starts"))
 
-    def place(state: Column, i: Column) -> Column:
-        joins = (state["row"] >= 0) & (F.abs(i["cy"] - state["anchor"]) <= F.col("tolerance"))
-        row = F.when(joins, state["row"]).otherwise(state["row"] + 1)
-        entry = F.struct(row.alias("row"), i["x1"].alias("x1"), i["cy"].alias("cy"), i["k"].alias("k"))
-        return F.struct(row.alias("row"), F.when(joins, state["anchor"]).otherwise(i["cy"]).alias("anchor"), F.concat(state["out"], F.array(entry)).alias("out"))
+    def place(state: Column, item: Column) -> Column:
+        opens = (state["i"] == 0) | (F.abs(item["cy"] - state["anchor"]) > F.col("tolerance"))
+        return F.struct(
+            (state["i"] + 1).alias("i"), F.when(opens, item["cy"]).otherwise(state["anchor"]).alias("anchor"),
+            F.when(opens, F.array_append(state["starts"], state["i"])).otherwise(state["starts"]).alias("starts"),
+        )
 
-    folded = screens.withColumn("tolerance", tolerance).select(screen, F.sort_array(F.aggregate("items", start, place, lambda s: s["out"])).alias("placed"))
-    placed = folded.select(screen, F.posexplode("placed").alias("position", "i"))
+    folded = screens.withColumn("tolerance", tolerance).withColumn("starts", F.aggregate("items", start, place, lambda s: s["starts"]))
+
+    def row(at: Column, r: Column) -> Column:
+        end = F.coalesce(F.get("starts", r + 1), F.size("items"))
+        across = F.array_sort(F.transform(F.slice("items", at + 1, end - at), lambda i: F.struct(i["x1"].alias("x1"), i["cy"].alias("cy"), i["k"].alias("k"))))
+        return F.transform(across, lambda i: F.struct(r.alias("row"), i["k"].alias("k")))
+
+    placed = folded.select(screen, F.posexplode(F.flatten(F.transform("starts", row))).alias("position", "i"))
     return placed.select(screen, F.col("i.k").alias(order), F.col("i.row").alias("row"), "position")
 
 
@@ -40,6 +48,7 @@ def dedupe_text(lines: DataFrame, screen: str = "screen_id", order: str = "ord",
     say the same. Conflicts come from an equi-join on the screen with strict overlap; each screen then folds
     its few conflicting lines, the others are kept at once.
     """
+    lines = lines.repartition(F.col(screen))  # one exchange, read by both sides of the join and by the anti-join
     base = lines.select(screen, F.col(order).alias("k"), F.col(box).alias("box"), F.col(text).alias("text"), F.length(text).alias("n"))
     a, b = base.alias("a"), base.alias("b")
     ahead = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.k") < F.col("a.k")))

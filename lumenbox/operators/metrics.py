@@ -22,9 +22,12 @@ def score_one(pred: Column, true: Column) -> Column:
     )
 
 
-def _p90(values: Column) -> Column:
-    """The value at index min(n - 1, floor(0.9 n)) of the sorted values."""
-    return F.get(F.sort_array(values), F.least(F.size(values) - 1, F.floor(F.size(values) * 0.9).cast("int")))
+def _at(share: float, column: str) -> Column:
+    """The value at index floor(share * n), counted from 0, of the sorted values.
+
+    A discrete percentile a hair above the share; it counts equal values together, on the map side as well.
+    """
+    return F.expr(f"percentile_disc({share + 1e-12!r}D) WITHIN GROUP (ORDER BY {column})")
 
 
 def trial_aggregates() -> list[Column]:
@@ -54,7 +57,7 @@ def trial_aggregates() -> list[Column]:
         F.bround(F.median(of(found, "centre_error_px")), 1).alias("centre_error_px_median"),
         F.bround(F.avg("latency_s"), 2).alias("latency_s_mean"),
         F.bround(F.median("latency_s"), 2).alias("latency_s_median"),
-        F.bround(_p90(F.collect_list("latency_s")), 2).alias("latency_s_p90"),
+        F.bround(_at(0.9, "latency_s"), 2).alias("latency_s_p90"),
     ]
 
 
@@ -124,12 +127,11 @@ def call_stats(calls: DataFrame, *keys: str) -> DataFrame:
 
 def resource_summary(samples: DataFrame, *keys: str) -> DataFrame:
     """Wall time and memory of samples; the median is the upper one, not a mean of two."""
-    wall = F.sort_array(F.collect_list("wall_s"))
     return samples.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.bround(F.avg("wall_s"), 3).alias("wall_s_mean"),
-        F.bround(F.get(wall, F.floor(F.size(wall) / 2).cast("int")), 3).alias("wall_s_median"),
-        F.bround(_p90(F.collect_list("wall_s")), 3).alias("wall_s_p90"),
+        F.bround(_at(0.5, "wall_s"), 3).alias("wall_s_median"),
+        F.bround(_at(0.9, "wall_s"), 3).alias("wall_s_p90"),
         F.bround(F.max("wall_s"), 3).alias("wall_s_max"),
         F.bround(F.max("rss_peak_bytes") / 1_000_000, 1).alias("rss_peak_mb_max"),
     )
@@ -154,3 +156,26 @@ def yes_share(logits: Column, yes: list[int], no: list[int]) -> Column:
     y, o = (mass(F.array(*[F.get(logits, F.lit(i)) for i in ids])) for ids in (yes, no))
     share = (y + o) / mass(logits)
     return F.when(share >= 1e-6, y / (y + o))
+
+
+def pair_with_truth(hits: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("variant", "screen_id", "target")) -> DataFrame:
+    """Trial rows: every target that was asked for, with its hit if there is one; scores are null where nothing was found.
+
+    ``targets``: (keys..., true_box, and what else describes a target); ``hits``: (keys..., box, confidence, refined).
+    """
+    found = hits.select(*keys, F.col("box").alias("pred_box"), "confidence", "refined", F.lit(True).alias("found"))
+    rows = targets.join(found, list(keys), "left").withColumn("found", F.coalesce("found", F.lit(False))).withColumn("refined", F.coalesce("refined", F.lit(False)))
+    scored = rows.withColumn("score", F.when(F.col("found"), score_one(F.col("pred_box"), F.col("true_box"))))
+    return scored.select("*", "score.*").drop("score")
+
+
+def peak_memory(samples: DataFrame, *keys: str) -> DataFrame:
+    """Per run of (keys..., at, rss_bytes) samples: start, peak over all of them, and what the run added."""
+    start, peak = F.min_by("rss_bytes", "at"), F.max("rss_bytes")
+    return samples.groupBy(*keys).agg(start.alias("rss_start_bytes"), peak.alias("rss_peak_bytes"), (peak - start).alias("rss_delta_bytes"), F.count("*").alias("samples"))
+
+
+def parameter_totals(tensors: DataFrame, *keys: str) -> DataFrame:
+    """Parameters and bytes of live tensors (keys..., shape, itemsize)."""
+    numel = F.aggregate("shape", F.lit(1).cast("long"), lambda n, d: n * d)
+    return tensors.groupBy(*keys).agg(F.sum(numel).alias("parameters"), F.sum(numel * F.col("itemsize")).alias("bytes"))

@@ -112,6 +112,29 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select("screen_id", "ord", "box", "text", chosen.alias("answer"))
 
 
+ANSWERS = (
+    BOXES
+    + """, told AS (
+  SELECT *, concat_ws(', ', CAST(x1 AS BIGINT), CAST(y1 AS BIGINT), CAST(x2 AS BIGINT), CAST(y2 AS BIGINT)) AS nums, '"label": "' || text || '"' AS label FROM boxes
+), answers AS (
+  SELECT screen_id, ord, text, CASE ord % 8
+    WHEN 0 THEN '[{"bbox_2d": [' || nums || '], ' || label || '}]'
+    WHEN 1 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '[{"bbox_2d": [' || nums || '], ' || label || '}]' || chr(10) || '```'
+    WHEN 2 THEN '{"items": [{"bounding_box": [' || nums || '], "name": "' || text || '"}]}'
+    WHEN 3 THEN '[{"bbox_2d": [' || nums || '], ' || label || '}, {"bbox_2d": [1, 2'
+    WHEN 4 THEN '[{"box": [[' || CAST(x1 AS BIGINT) || ', ' || CAST(y1 AS BIGINT) || '], [' || CAST(x2 AS BIGINT) || ', ' || CAST(y2 AS BIGINT) || ']]}]'
+    WHEN 5 THEN 'It is at (' || nums || ').'
+    WHEN 6 THEN '{"point": [' || CAST(x1 AS BIGINT) || ', ' || CAST(y1 AS BIGINT) || ']}'
+    ELSE 'no idea about ' || text END AS answer FROM told
+), items AS (
+  SELECT screen_id, ord, 0 AS pos, CASE WHEN k = 6 THEN x1 - 1 ELSE x1 END AS x1, CASE WHEN k = 6 THEN y1 - 1 ELSE y1 END AS y1,
+         CASE WHEN k = 6 THEN x1 + 1 ELSE x2 END AS x2, CASE WHEN k = 6 THEN y1 + 1 ELSE y2 END AS y2,
+         CASE WHEN k < 4 THEN text ELSE '' END AS label, '' AS text, k = 6 AS point
+  FROM (SELECT *, ord % 8 AS k FROM boxes) WHERE k <> 7
+)"""
+)
+
+
 def tensor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as tensors of five models; names repeat over files."""
     part = table(spark, sf_dir, "part")
