@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import parsing, text
-from ..operators import audit, datagen, inference, layout, metrics, planning, report, rules
+from ..operators import audit, datagen, inference, layout, metrics, planning, report, rules, tasks
 from ..sources import registry
 from . import adapters as a
 
@@ -536,3 +536,87 @@ def k04_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = a.trials(spark, sf_dir)
     item = F.struct("ord", F.col("target").alias("label"), F.col("pred_box").alias("box"), "confidence")
     return t.groupBy("variant", "screen_id").agg(F.sort_array(F.collect_list(item)).alias("items")).select("variant", "screen_id", report.detection_rows(F.col("items")).alias("rows"))
+
+
+# ---- tiles, runs and tasks ------------------------------------------------------------------------------------
+@query(
+    _with(a.BOXES)
+    + f""", t AS (SELECT *, unnest(range(4)) AS i FROM boxes), r AS (SELECT *, greatest(0, i % 2 * {W / 2} - {W / 2} * 0.15::DOUBLE) AS rx1, greatest(0, i // 2 * {H / 2} - {H / 2} * 0.15::DOUBLE) AS ry1,
+      least({W}, (i % 2 + 1) * {W / 2} + {W / 2} * 0.15::DOUBLE) AS rx2, least({H}, (i // 2 + 1) * {H / 2} + {H / 2} * 0.15::DOUBLE) AS ry2 FROM t),
+    c AS (SELECT *, greatest(0, least(x2, rx2) - greatest(x1, rx1)) * greatest(0, least(y2, ry2) - greatest(y1, ry1)) / ((x2 - x1) * (y2 - y1)) AS share FROM r)
+    SELECT screen_id, ord, CAST(i // 2 AS INTEGER) AS r, CAST(i % 2 AS INTEGER) AS c, share >= 0.55 AS searched, share >= 0.6 AS "read" FROM c WHERE share > 0"""
+)
+def f06_tile_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tiles of a 2 by 2 grid hold enough of a box to search, and to read it."""
+    cut = a.boxes(spark, sf_dir).withColumn("t", F.explode(g.tile_grid(F.lit(W), F.lit(H), F.lit(2), F.lit(2), tasks.SEARCH_OVERLAP)))
+    seen = cut.where(g.coverage(F.col("box"), F.col("t.region")) > 0)
+    return seen.select("screen_id", "ord", "t.r", "t.c", tasks.covered(F.col("box"), F.col("t.region"), tasks.SEARCH_COVERAGE).alias("searched"), tasks.covered(F.col("box"), F.col("t.region"), tasks.READ_COVERAGE).alias("read"))
+
+
+@query(_with(a.TRIALS) + " SELECT variant, screen_id, ord, found, iou, click_hit, CASE WHEN found THEN confidence END AS confidence FROM trials")
+def j06_pair_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target with its hit, if there is one."""
+    t = a.trials(spark, sf_dir)
+    hits = t.where("found").select("variant", "screen_id", "ord", F.col("pred_box").alias("box"), "confidence", F.lit(False).alias("refined"))
+    rows = metrics.pair_with_truth(hits, t.select("variant", "screen_id", "ord", "true_box"), ("variant", "screen_id", "ord"))
+    return rows.select("variant", "screen_id", "ord", "found", "iou", "click_hit", "confidence")
+
+
+@query(
+    SQL["j02_absent_phrases"].replace("SELECT s.screen_id, ph.phrase FROM", ", pool AS (SELECT s.screen_id, ph.phrase FROM")
+    + "), k AS (SELECT *, row_number() OVER (PARTITION BY screen_id ORDER BY md5('977:' || screen_id || ':' || phrase), phrase) AS pick FROM pool) SELECT screen_id, phrase, CAST(pick AS INTEGER) AS pick FROM k WHERE pick <= 2"
+)
+def l02_distractor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.pick_absent(QUERIES["j02_absent_phrases"](spark, sf_dir), 2).select("screen_id", "phrase", "pick")
+
+
+@query(_with(a.CALLS) + " SELECT backend, arg_min(rss_peak_bytes, call_no) AS rss_start_bytes, max(rss_peak_bytes) AS rss_peak_bytes, max(rss_peak_bytes) - arg_min(rss_peak_bytes, call_no) AS rss_delta_bytes, count(*) AS samples FROM calls GROUP BY backend")
+def a17_peak_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.peak_memory(a.calls(spark, sf_dir).select("backend", F.col("call_no").alias("at"), F.col("rss_peak_bytes").alias("rss_bytes")), "backend")
+
+
+@query(_with(a.TENSORS) + " SELECT model, CAST(sum(CASE WHEN shaped THEN numel ELSE 1 END) AS BIGINT) AS parameters, CAST(sum(2 * CASE WHEN shaped THEN numel ELSE 1 END) AS BIGINT) AS bytes FROM tensors GROUP BY model")
+def a20_live_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.parameter_totals(a.tensor_rows(spark, sf_dir).withColumn("itemsize", F.lit(2)), "model")
+
+
+@query(
+    _with(a.BOXES)
+    + """, said AS (SELECT screen_id || ':' || ord AS screen_id, CASE ord % 3 WHEN 0 THEN ['Open ' || text, 'Then ' || text] WHEN 1 THEN ['Click ' || text] ELSE [] END AS steps, text, ord FROM boxes),
+    u AS (SELECT screen_id, unnest(steps) AS instruction, unnest(range(1, len(steps) + 1)) AS n, text, ord FROM said) SELECT screen_id, CAST(n AS INTEGER) AS n, instruction, CASE WHEN ord % 3 = 1 THEN text END AS target FROM u"""
+)
+def u07_guide_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans as numbered lines and as JSON, to numbered steps."""
+    t = F.col("text")
+    answer = (
+        F.when(F.col("ord") % 3 == 0, F.concat(F.lit("Plan:\n1. Open "), t, F.lit("\n 2) Then "), t, F.lit("  \n")))
+        .when(F.col("ord") % 3 == 1, F.to_json(F.array(F.struct(F.concat(F.lit("Click "), t).alias("instruction"), t.alias("target")))))
+        .otherwise(t)
+    )
+    return inference.guide(a.boxes(spark, sf_dir).select(F.concat_ws(":", "screen_id", "ord").alias("screen_id"), answer.alias("answer")))
+
+
+@query(
+    _with(a.ANSWERS)
+    + f""", c AS (SELECT screen_id || ':' || ord AS screen_id, pos, label, least(greatest(x1, 0), {W}) AS x1, least(greatest(y1, 0), {H}) AS y1, least(greatest(x2, 0), {W}) AS x2, least(greatest(y2, 0), {H}) AS y2 FROM items),
+    s AS (SELECT *, (x1 + x2) / 2 < 196 AS l FROM c) SELECT screen_id, pos, CASE WHEN l THEN 'left' ELSE 'right' END AS side, label AS description, CASE WHEN l THEN x1 ELSE least(greatest(x1 - 196, 0), 150) END AS x1,
+    CASE WHEN l THEN y1 ELSE least(y1, 160) END AS y1, CASE WHEN l THEN x2 ELSE least(greatest(x2 - 196, 0), 150) END AS x2, CASE WHEN l THEN y2 ELSE least(y2, 160) END AS y2, x1 AS canvas_x1 FROM s"""
+)
+def u07_diff_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes on two pictures side by side, each told for its own picture."""
+    view = F.struct(F.lit(W).alias("w"), F.lit(H).alias("h"), g.make_transform(0, 0, 1, 1).alias("tf"))
+    told = a.answers(spark, sf_dir).select(F.concat_ws(":", "screen_id", "ord").alias("screen_id"), "answer", view.alias("view"), F.lit("abs").alias("mode"), F.lit(180).alias("before_w"), F.lit(150).alias("after_w"), F.lit(160).alias("after_h"))
+    return inference.diff(told).select("screen_id", "pos", "side", F.coalesce("description", F.lit("")).alias("description"), *_flat(F.col("box")), F.col("canvas_box.x1").alias("canvas_x1"))
+
+
+@query(
+    _with(a.TRIALS)
+    + f""", b AS (SELECT t.variant, t.screen_id, t.ord, t.role, t.confidence, greatest(m.px1 - 3, 0) AS x1, greatest(m.py1 - 3, 0) AS y1, least(m.px2 + 3, {W}) AS x2, least(m.py2 + 3, {H}) AS y2 FROM trials t JOIN moved m ON t.screen_id = m.screen_id AND t.ord = m.ord)
+    SELECT screen_id || ':' || ord AS screen_id, role AS kind, confidence IS NULL OR confidence >= 0.55 AS kept, round_even(x1, 1) AS x1, round_even(y1, 1) AS y1, round_even(x2, 1) AS x2, round_even(y2, 1) AS y2 FROM b"""
+)
+def u07_redact_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with their kind, grown by a margin; doubted ones are not kept."""
+    t = a.trials(spark, sf_dir)
+    label = F.concat(F.lit(" "), F.upper("role"))
+    found = t.select(F.concat_ws(":", "screen_id", "ord").alias("screen_id"), F.lit(W).alias("w"), F.lit(H).alias("h"), F.col("pred_box").alias("box"), label.alias("label"), F.col("target").alias("text"), "confidence")
+    return inference.redact(found).select("screen_id", "kind", "kept", *_flat(F.col("box")))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import urllib.request
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 HEADER_BYTES = 8 << 20
 
@@ -38,3 +43,38 @@ def images(spark: SparkSession, path: str) -> DataFrame:
         return F.when(is_png, F.conv(F.hex(F.substring("content", start, 4)), 16, 10).cast("int"))
 
     return files.select("path", "length", "content", side(17).alias("w"), side(21).alias("h"), F.struct(F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(1.0).alias("sx"), F.lit(1.0).alias("sy")).alias("tf"))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Pictures by path; a live screen is no table, and a path that doesn't exist is an error of the reader."""
+    if path in ("-", "screen"):
+        raise ValueError("a live screen cannot be read as a table")
+    return images(spark, path)
+
+
+class HubHeaders(DataSource):
+    """Opening bytes of checkpoint files at addresses: options ``urls`` (separated by commas) and ``model``; a partition for each file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "hub_headers"
+
+    def schema(self) -> str:
+        return "model string, file string, content binary"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _HubReader(self.options)
+
+
+class _HubReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.urls = [u for u in options["urls"].split(",") if u]
+        self.model = options.get("model", "")
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(u) for u in self.urls]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple[str, str, bytes]]:
+        request = urllib.request.Request(partition.value, headers={"Range": f"bytes=0-{HEADER_BYTES - 1}"})
+        with urllib.request.urlopen(request, timeout=60) as answer:
+            yield self.model, partition.value.rsplit("/", 1)[-1], answer.read(HEADER_BYTES)
