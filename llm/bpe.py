@@ -27,6 +27,8 @@ from .common import table, text_slices
 
 CACHE_WORDS = 200_000
 CACHE_LONGEST = 64
+#: Bytes of text whose new words are merged together
+SLICE = 2_000_000
 #: White space as Unicode's White_Space property has it
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -171,7 +173,7 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(content.value, vocabulary)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             ids = coder.encode(batch.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = np.fromiter((i for x in ids for i in x), np.int32, count=int(offsets[-1]))

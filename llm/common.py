@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of text handled together by numpy code are cut so that a slice holds about this many bytes.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

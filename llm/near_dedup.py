@@ -45,7 +45,7 @@ SAMPLE = 4
 HOT_LEAST = 2
 ID_BUCKETS = 1 << 17
 #: Sampled shingles that a task counts together before it sends counts on
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 
 
 def _retained(n: int, percent: int) -> int:
