@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +140,11 @@ class WordBpe:
                 (self.cache if len(w) <= CACHE_LONGEST else own)[w] = ids
         cache, out = self.cache, []
         for words in split:
-            ids: list[int] = []
+            try:  # all of them cached words, as in nearly every text
+                out.append(list(chain.from_iterable(map(cache.__getitem__, words))))
+                continue
+            except KeyError:
+                ids: list[int] = []
             for w in words:
                 if w.__class__ is int:
                     ids.append(w)
