@@ -9,7 +9,8 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of text handled together by numpy code are cut so that a slice holds about this many bytes.
 SLICE_BYTES = 400_000
@@ -73,6 +74,21 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place in the given order as ``name``, from 0: sorted in ranges, whatever their number.
+
+    Each range's rows are numbered where they are; only the ranges' counts reach the driver.
+    """
+    at = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), f"{name}-sorted")
+    part, within = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, rows = 0, []
+    for r in at.groupBy(part.alias("_part")).count().orderBy("_part").collect():
+        rows.append((r["_part"], before))
+        before += r["count"]
+    offsets = at.sparkSession.createDataFrame(rows, "_part int, _before long")
+    return at.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, F.col("_before") + within).drop("_at", "_part", "_before")
+
+
 def parts(df: DataFrame, rows_per_part: int) -> int:
     """A partition count that follows the data: rows / ``rows_per_part``, at least the session's."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows_per_part + 1)

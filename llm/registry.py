@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, langid, license_scan, near_dedup, sharding, substring_dedup, suffix_dedup, toxicity
+from . import (
+    bpe,
+    byte_bpe,
+    decontaminate,
+    exact_dedup,
+    langid,
+    license_scan,
+    near_dedup,
+    resampling,
+    sharding,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+    whitening,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_resampling": resampling.op12_resampling,
+        "op13_byte_bpe": byte_bpe.op13_byte_bpe,
     }
 
 
