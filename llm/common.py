@@ -46,7 +46,7 @@ def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` to the shared folder and returns a scan of it.
 
     Cuts lineage (a lost executor costs no more than the lost tasks), freezes row order dependent
@@ -57,7 +57,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     with _shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

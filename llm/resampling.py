@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, numbered, table, text_slices
 
 #: Bytes of text whose words form one block
-BLOCK = 2_000_000
+BLOCK = 4_000_000
 #: Bytes other than those of words go, A-Z become lower case
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -83,7 +83,7 @@ def importance_resampling(docs: DataFrame, target: DataFrame, longest: int = 1,
     chances by weight. Of the documents with ``least_words`` words, ``percent`` of a hundred are drawn (rounded down).
     """
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    blocks = materialise(_blocks(docs, longest).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = materialise(_blocks(docs, longest).withColumn("block", F.monotonically_increasing_id()), "blocks", "zstd")
     held = blocks.select("block", F.posexplode(F.arrays_zip("feature", "count")).alias("k", "x")).select("block", "k", F.col("x.feature").alias("feature"), F.col("x.count").alias("count"))
     wanted = _blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), longest).select(F.inline(F.arrays_zip("feature", "count")))
     counts = (
@@ -92,20 +92,23 @@ def importance_resampling(docs: DataFrame, target: DataFrame, longest: int = 1,
         .groupBy("feature").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
         .withColumn("bucket", F.crc32(F.col("feature").cast("binary")) % buckets)
     )
-    dictionary = materialise(counts, "dictionary")
+    dictionary = materialise(counts, "dictionary", "zstd")
     # as many rows as there are buckets, whatever the corpus
     bucket_counts = materialise(dictionary.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).coalesce(1), "buckets")
     total = bucket_counts.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).head()
     gains = bucket_counts.select("bucket", _gain(F.lit(0), F.col("s"), F.col("t"), F.lit(total["s"]), F.lit(total["t"]), buckets).alias("gain"))
-    gained = materialise(dictionary.where("s > 0").join(F.broadcast(gains), "bucket").select("feature", "gain"), "gained")
-    back = held.select(F.col("block").alias("of_block"), "k", "feature").join(gained, "feature").select("of_block", "k", "gain")
+    gained = materialise(dictionary.where("s > 0").join(F.broadcast(gains), "bucket").select("feature", F.col("gain").cast("int").alias("gain")), "gained", "zstd")
+    discard(dictionary, bucket_counts)
+    # lists of what a task has of a block, combined before they are moved; as long as a block has features
+    back = held.select(F.col("block").alias("of_block"), "k", "feature").join(gained, "feature").groupBy("of_block").agg(F.collect_list("k").alias("k"), F.collect_list("gain").alias("gain"))
 
     def weigh(block: pa.Table, gain: pa.Table) -> pa.Table:
         """One block's documents: the sums of their features' gains."""
         row = block.slice(0, 1)
         values = {c: row.column(c).combine_chunks().flatten() for c in ("docs", "words", "sizes", "which", "times")}
-        by_feature = np.zeros(gain.num_rows, np.int64)
-        by_feature[gain.column("k").to_numpy()] = gain.column("gain").to_numpy()
+        k, gains = (gain.column(c).combine_chunks().flatten().to_numpy() for c in ("k", "gain"))
+        by_feature = np.zeros(len(k), np.int64)
+        by_feature[k] = gains
         sizes, times = values["sizes"].to_numpy().astype(np.int64), values["times"].to_numpy().astype(np.int64)
         sums = _sums(by_feature[values["which"].to_numpy()] * times, sizes)
         n = _sums(times, sizes)
@@ -117,7 +120,7 @@ def importance_resampling(docs: DataFrame, target: DataFrame, longest: int = 1,
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(F.lit(-1000.0) * F.ln(-F.ln((h.cast("double") + 0.5) / 4294967296.0)))
     scored = materialise(weighed.withColumn("score", F.col("weight") + noise), "scored")
-    discard(blocks, dictionary, bucket_counts, gained)
+    discard(blocks, gained)
     may = (F.col("n_words") >= least_words) & F.col("doc_id").isNotNull()
     drawn = numbered(scored.where(may), [F.desc("score"), F.asc("doc_id")], "rank")
     rank = F.col("rank") + 1
