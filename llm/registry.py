@@ -42,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op8_exact_dedup": exact_dedup.ORACLE, "op12_resampling": resampling.ORACLE}

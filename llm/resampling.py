@@ -138,3 +138,41 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+ORACLE = r"""
+WITH one AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b::BIGINT)) AS crc_of
+), words AS (
+  SELECT 'd' AS kind, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM documents
+  UNION ALL
+  SELECT 't', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))
+  FROM benchmark
+), per_doc AS (
+  SELECT kind, doc_id, word, count(*) AS n FROM words GROUP BY ALL
+), spelled AS (
+  SELECT word, hex(word) AS h, sum(n) FILTER (kind = 'd') AS s, sum(n) FILTER (kind = 't') AS t FROM per_doc GROUP BY word
+), hashed AS (
+  SELECT word, coalesce(s, 0) AS s, coalesce(t, 0) AS t, xor(4294967295, list_reduce(
+    list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, crc_of[xor(c & 255, b) + 1]), 4294967295::BIGINT)) % 10000 AS bucket
+  FROM spelled, one
+), totals AS (
+  SELECT sum(s)::BIGINT AS ss, sum(t)::BIGINT AS tt FROM hashed
+), gains AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln((sum(t) + 1)::DOUBLE * (any_value(ss) + 10000)::DOUBLE / ((sum(s) + 1)::DOUBLE * (any_value(tt) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM hashed, totals GROUP BY bucket
+), weighed AS (
+  SELECT p.doc_id, sum(p.n)::BIGINT AS n_features, floor(sum(p.n * g.gain)::DOUBLE / sum(p.n))::BIGINT AS weight
+  FROM per_doc p JOIN hashed h USING (word) JOIN gains g USING (bucket) WHERE p.kind = 'd' GROUP BY p.doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(w.n_features, 0) AS n_features, coalesce(w.weight, 0) AS weight,
+         coalesce(w.weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weighed w USING (doc_id)
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS among FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN p.place <= 10 * p.among // 100 THEN p.place END AS rank
+FROM scored s LEFT JOIN placed p USING (doc_id)
+"""
