@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 
@@ -41,24 +42,59 @@ def reading_order(items: DataFrame, screen: str = "screen_id", order: str = "ord
     return placed.select(screen, F.col("i.k").alias(order), F.col("i.row").alias("row"), "position")
 
 
+#: Sides of a grid's cells, as multiples of the mean sides of a screen's boxes
+CELL = 2.0
+
+
+def in_cells(items: DataFrame, screen: str = "screen_id", box: str = "box") -> DataFrame:
+    """``items`` once for each cell of their screen's grid that their box reaches into, with `_cell` and `_home`.
+
+    Cells follow the mean size of a screen's boxes, so that rows grow with the number of boxes however dense the
+    screen is. `_home` marks one row of each item; an item without a box has that row alone, in no cell.
+    """
+    b, w = F.col(box), Window.partitionBy(screen)
+    sides = {f"_{s}": F.greatest(F.lit(1.0), F.avg(F.abs(b[f"{s}2"] - b[f"{s}1"])).over(w)) * CELL for s in "xy"}
+
+    def cells(s: str) -> Column:
+        ends = [F.floor(f(b[f"{s}1"], b[f"{s}2"]) / F.col(f"_{s}")) for f in (F.least, F.greatest)]
+        return F.sequence(*ends)
+
+    out = items.withColumns(sides).withColumn("_first", F.struct(F.get(cells("x"), F.lit(0)).alias("x"), F.get(cells("y"), F.lit(0)).alias("y")))
+    out = out.withColumn("_cx", F.explode_outer(cells("x"))).withColumn("_cy", F.explode_outer(cells("y")))
+    cell = F.struct(F.col("_cx").alias("x"), F.col("_cy").alias("y"))
+    return out.withColumn("_cell", cell).withColumn("_home", F.col("_cell").eqNullSafe(F.col("_first"))).drop("_cx", "_cy", "_first")
+
+
+def meets_in_cell(a: Column, b: Column) -> Column:
+    """Whether two boxes overlap, and the corner of their overlap lies in this row's cell: true in one cell of each such pair."""
+    touch = (a["x1"] < b["x2"]) & (b["x1"] < a["x2"]) & (a["y1"] < b["y2"]) & (b["y1"] < a["y2"])
+    corner = [F.floor(F.greatest(a[f"{s}1"], b[f"{s}1"]) / F.col(f"_{s}")) == F.col("_cell")[s] for s in "xy"]
+    return touch & corner[0] & corner[1]
+
+
 def dedupe_text(lines: DataFrame, screen: str = "screen_id", order: str = "ord", box: str = "box", text: str = "text", threshold: float = 0.6, same_text: float = 0.2) -> DataFrame:
     """Rows of ``lines`` that greedy suppression keeps: longer texts first, then by ``order``.
 
     A line goes if its overlap with a kept line is above ``threshold``, or above ``same_text`` where both
-    say the same. Conflicts come from an equi-join on the screen with strict overlap; each screen then folds
-    its few conflicting lines, the others are kept at once.
+    say the same. A line meets the lines ahead of it in the cells of a grid; each screen then folds its
+    few conflicting lines, the others are kept at once. All of it happens behind one exchange by screen. A null
+    text has no length and comes last; a line without a box meets none and is kept.
     """
-    lines = lines.repartition(F.col(screen))  # one exchange, read by both sides of the join and by the anti-join
-    base = lines.select(screen, F.col(order).alias("k"), F.col(box).alias("box"), F.col(text).alias("text"), F.length(text).alias("n"))
-    a, b = base.alias("a"), base.alias("b")
-    ahead = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.k") < F.col("a.k")))
-    touch = (F.col("a.box.x1") < F.col("b.box.x2")) & (F.col("b.box.x1") < F.col("a.box.x2")) & (F.col("a.box.y1") < F.col("b.box.y2")) & (F.col("b.box.y1") < F.col("a.box.y2"))
-    overlap = g.iou(F.col("a.box"), F.col("b.box"))
-    clash = (overlap > threshold) | ((F.col("a.text") != "") & (F.col("a.text") == F.col("b.text")) & (overlap > same_text))
-    pairs = a.join(b, (F.col(f"a.{screen}") == F.col(f"b.{screen}")) & ahead & touch & clash)
-    conflicts = pairs.groupBy(F.col(f"a.{screen}").alias(screen), F.col("a.k").alias("k"), F.col("a.n").alias("n")).agg(F.collect_list("b.k").alias("before"))
-    queue = conflicts.groupBy(screen).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("rank"), "k", "before"))).alias("q"))
+    length = F.coalesce(F.length(text), F.lit(0))
+    placed = in_cells(lines.withColumn("_row", F.struct(*lines.columns)), screen, box).withColumn("_rank", -length)
+    before = Window.partitionBy(screen, "_cell").orderBy("_rank", order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.collect_list(F.struct(F.col(order).alias("k"), F.col(box).alias("box"), F.col(text).alias("text"))).over(before)
+
+    def clash(other: Column) -> Column:
+        overlap = g.iou(F.col(box), other["box"])
+        same = (F.col(text) != "") & (F.col(text) == other["text"]) & (overlap > same_text)
+        return meets_in_cell(F.col(box), other["box"]) & ((overlap > threshold) | F.coalesce(same, F.lit(False)))
+
+    met = placed.withColumn("_before", F.transform(F.filter(ahead, clash), lambda o: o["k"]))
+    conflict = F.when(F.size("_before") > 0, F.struct(F.col("_rank").alias("rank"), F.col(order).alias("k"), F.col("_before").alias("before")))
+    screens = met.groupBy(screen).agg(F.sort_array(F.collect_list(conflict)).alias("queue"), F.collect_list(F.when(F.col("_home"), F.col("_row"))).alias("rows"))
     # a line without a conflict ahead of it is kept: only dropped lines need to be remembered
-    dropped = F.aggregate("q", F.array().cast("array<bigint>"), lambda gone, x: F.when(F.size(F.array_except(x["before"], gone)) > 0, F.array_append(gone, x["k"])).otherwise(gone))
-    gone = queue.select(screen, F.explode(dropped).alias(order))
-    return lines.join(gone, [screen, order], "left_anti")
+    none = F.array().cast(f"array<{lines.schema[order].dataType.simpleString()}>")
+    dropped = F.aggregate("queue", none, lambda gone, x: F.when(F.size(F.array_except(x["before"], gone)) > 0, F.array_append(gone, x["k"])).otherwise(gone))
+    kept = screens.withColumn("gone", dropped).select(F.inline(F.filter("rows", lambda r: ~F.array_contains(F.col("gone"), r[order]))))
+    return kept

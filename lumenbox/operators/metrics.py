@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .selection import at_share, beside, lower_middle, select_ranks, upper_middle, value_counts
 
 THRESHOLDS = (0.0, 0.5, 0.75, 0.9)
 
@@ -22,47 +23,102 @@ def score_one(pred: Column, true: Column) -> Column:
     )
 
 
-def _at(share: float, column: str) -> Column:
-    """The value at index floor(share * n), counted from 0, of the sorted values.
+def with_scores(rows: DataFrame, pred: str = "pred_box", true: str = "true_box", found: str | None = None) -> DataFrame:
+    """``rows`` with the fields of score_one() as columns, null where ``found`` is a false column.
 
-    A discrete percentile a hair above the share; it counts equal values together, on the map side as well.
+    The same values in steps: sides, areas and centres are columns of their own first, so that generated code stays
+    small enough to be compiled and computes each once.
     """
-    return F.expr(f"percentile_disc({share + 1e-12!r}D) WITHIN GROUP (ORDER BY {column})")
+    p, t = F.col(pred), F.col(true)
+    sides = {f"_{k}{axis}": (b[f"{axis}2"] - b[f"{axis}1"]) for k, b in (("p", p), ("t", t)) for axis in "xy"}
+    sides |= {f"_o{axis}": F.greatest(F.lit(0.0), F.least(p[f"{axis}2"], t[f"{axis}2"]) - F.greatest(p[f"{axis}1"], t[f"{axis}1"])) for axis in "xy"}
+    sides |= {f"_{k}{axis}": (b[f"{axis}1"] + b[f"{axis}2"]) / 2 for k, b in (("c", p), ("d", t)) for axis in "xy"}
+    areas = {
+        "_overlap": F.col("_ox") * F.col("_oy"),
+        **{f"_{k}": F.greatest(F.lit(0.0), F.col(f"_{k}x")) * F.greatest(F.lit(0.0), F.col(f"_{k}y")) for k in "pt"},
+        "click_hit": g.point_in(F.col("_cx"), F.col("_cy"), t),
+        "centre_error_px": F.sqrt((F.col("_cx") - F.col("_dx")) * (F.col("_cx") - F.col("_dx")) + (F.col("_cy") - F.col("_dy")) * (F.col("_cy") - F.col("_dy"))),
+    }
+    shares = {"_union": F.col("_p") + F.col("_t") - F.col("_overlap"), "area_ratio": F.col("_p") / F.greatest(F.lit(1.0), F.col("_t"))}
+    out = rows.withColumns(sides).withColumns(areas).withColumns(shares)
+    out = out.withColumn("iou", F.when(F.col("_union") > 0, F.col("_overlap") / F.col("_union")).otherwise(0.0))
+    rounded = {"iou": F.bround("iou", 4), "click_hit": F.col("click_hit"), "centre_error_px": F.bround("centre_error_px", 1), "area_ratio": F.bround("area_ratio", 3)}
+    scores = rounded if found is None else {k: F.when(F.col(found), v) for k, v in rounded.items()}
+    return out.select(*[F.col(c) for c in rows.columns], *[v.alias(k) for k, v in scores.items()])
+
+
+#: Measures of a trial, by their numbers in value_counts()
+ALL, FOUND, TIGHT, CENTRE, OUTCOME = range(5)
+#: Order statistics of trials: the measure, and the rank
+TRIAL_RANKS = {
+    "iou_low": (FOUND, lower_middle), "iou_high": (FOUND, upper_middle),
+    "centre_low": (CENTRE, lower_middle), "centre_high": (CENTRE, upper_middle),
+    "latency_low": (ALL, lower_middle), "latency_high": (ALL, upper_middle), "latency_p90": (ALL, at_share(0.9)),
+}
+
+
+def trial_counts(trials: DataFrame, *keys: str) -> DataFrame:
+    """Trials (found, click_hit, iou, centre_error_px, latency_s, box_kind) as counts of distinct values, in one pass.
+
+    The last measure has the outcome in a few whole numbers: 1 if found, 2 more if hit, 4 more if tight.
+    """
+    found = F.coalesce(F.col("found"), F.lit(False))
+    tight = found & (F.coalesce(F.col("box_kind"), F.lit("region")) == "tight")
+    hit = found & F.coalesce(F.col("click_hit"), F.lit(False))
+    outcome = found.cast("int") + 2 * hit.cast("int") + 4 * tight.cast("int")
+    measures = [F.col("latency_s"), F.when(found, F.col("iou")), F.when(tight, F.col("iou")), F.when(found, F.col("centre_error_px")), outcome]
+    return value_counts(trials, list(keys), measures)
+
+
+def aggregate_counts(counts: DataFrame, *keys: str) -> DataFrame:
+    """All aggregates of trials from their counts."""
+    m, v, c = F.col("m"), F.col("v"), F.col("c")
+
+    def total(measure: int, what: Column = c, where: Column | None = None) -> Column:
+        condition = m == measure if where is None else (m == measure) & where
+        return F.coalesce(F.sum(F.when(condition, what)), F.lit(0))
+
+    def mean(measure: int) -> Column:
+        return F.try_divide(F.sum(F.when(m == measure, v * c)), total(measure))
+
+    bits = F.when(m == OUTCOME, v).cast("int")
+    plain = counts.groupBy(*keys).agg(
+        total(OUTCOME).alias("n"),
+        total(OUTCOME, where=bits.bitwiseAND(1) > 0).alias("n_found"),
+        total(OUTCOME, where=bits.bitwiseAND(2) > 0).alias("hits"),
+        total(OUTCOME, where=bits.bitwiseAND(4) > 0).alias("tight_n"),
+        *[total(k, where=v >= at).alias(f"{name}_{round(at * 100)}") for k, name in ((FOUND, "iou"), (TIGHT, "tight")) for at in (0.5, 0.75)],
+        mean(FOUND).alias("iou"), mean(TIGHT).alias("tight"), mean(ALL).alias("latency"),
+    )
+    both = beside(plain, select_ranks(counts, list(keys), TRIAL_RANKS), list(keys))
+    n, n_found, n_tight = F.col("n"), F.col("n_found"), F.col("tight_n")
 
+    def middle(name: str) -> Column:
+        return 0.5 * F.col(f"{name}_low") + 0.5 * F.col(f"{name}_high")
 
-def trial_aggregates() -> list[Column]:
-    """All aggregates of trials (found, click_hit, iou, centre_error_px, latency_s, box_kind) in one pass."""
-    found, n = F.coalesce(F.col("found"), F.lit(False)), F.count("*")
-    n_found = F.count_if(found)
-    tight = found & (F.coalesce(F.col("box_kind"), F.lit("region")) == "tight")
-    n_tight = F.count_if(tight)
-    hits = F.count_if(found & F.col("click_hit"))
-
-    def of(condition: Column, column: str = "iou") -> Column:
-        return F.when(condition, F.col(column))
-
-    return [
-        n.alias("n"),
-        F.bround(n_found / n, 4).alias("found_rate"),
-        F.bround(hits / n, 4).alias("click_accuracy"),
-        F.coalesce(F.bround(F.try_divide(hits, n_found), 4), F.lit(0.0)).alias("click_accuracy_when_found"),
-        F.coalesce(F.bround(F.avg(of(found)), 4), F.lit(0.0)).alias("iou_mean"),
-        F.coalesce(F.bround(F.median(of(found)), 4), F.lit(0.0)).alias("iou_median"),
-        F.bround(F.count_if(found & (F.col("iou") >= 0.5)) / n, 4).alias("iou_at_50"),
-        F.bround(F.count_if(found & (F.col("iou") >= 0.75)) / n, 4).alias("iou_at_75"),
-        n_tight.alias("tight_n"),
-        F.bround(F.avg(of(tight)), 4).alias("tight_iou_mean"),
-        F.bround(F.count_if(tight & (F.col("iou") >= 0.5)) / F.nullif(n_tight, F.lit(0)), 4).alias("tight_iou_at_50"),
-        F.bround(F.count_if(tight & (F.col("iou") >= 0.75)) / F.nullif(n_tight, F.lit(0)), 4).alias("tight_iou_at_75"),
-        F.bround(F.median(of(found, "centre_error_px")), 1).alias("centre_error_px_median"),
-        F.bround(F.avg("latency_s"), 2).alias("latency_s_mean"),
-        F.bround(F.median("latency_s"), 2).alias("latency_s_median"),
-        F.bround(_at(0.9, "latency_s"), 2).alias("latency_s_p90"),
-    ]
+    return both.select(
+        *keys,
+        n,
+        F.bround(F.try_divide(n_found, n), 4).alias("found_rate"),
+        F.bround(F.try_divide("hits", n), 4).alias("click_accuracy"),
+        F.coalesce(F.bround(F.try_divide("hits", n_found), 4), F.lit(0.0)).alias("click_accuracy_when_found"),
+        F.coalesce(F.bround("iou", 4), F.lit(0.0)).alias("iou_mean"),
+        F.coalesce(F.bround(middle("iou"), 4), F.lit(0.0)).alias("iou_median"),
+        F.bround(F.try_divide("iou_50", n), 4).alias("iou_at_50"),
+        F.bround(F.try_divide("iou_75", n), 4).alias("iou_at_75"),
+        n_tight,
+        F.bround("tight", 4).alias("tight_iou_mean"),
+        F.bround(F.try_divide("tight_50", n_tight), 4).alias("tight_iou_at_50"),
+        F.bround(F.try_divide("tight_75", n_tight), 4).alias("tight_iou_at_75"),
+        F.bround(middle("centre"), 1).alias("centre_error_px_median"),
+        F.bround("latency", 2).alias("latency_s_mean"),
+        F.bround(middle("latency"), 2).alias("latency_s_median"),
+        F.bround("latency_p90", 2).alias("latency_s_p90"),
+    )
 
 
 def aggregate_trials(trials: DataFrame, *keys: str) -> DataFrame:
-    return trials.groupBy(*keys).agg(*trial_aggregates())
+    return aggregate_counts(trial_counts(trials, *keys), *keys)
 
 
 def by_group(trials: DataFrame, key: str, *within: str) -> DataFrame:
@@ -72,11 +128,13 @@ def by_group(trials: DataFrame, key: str, *within: str) -> DataFrame:
 
 def summary_sets(trials: DataFrame, first: str = "variant", others: tuple[str, ...] = ("scale", "role", "box_kind")) -> DataFrame:
     """Overall and by each other key, per variant, as grouping sets of one pass; a null key is the text None."""
-    named = trials.withColumns({f"by_{k}": F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in (first, *others)})
-    sets = [[f"by_{first}"], *[[f"by_{first}", f"by_{k}"] for k in others]]
     columns = [f"by_{k}" for k in (first, *others)]
-    out = named.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(*trial_aggregates())
-    return out.withColumnRenamed(f"by_{first}", first)
+    named = trials.withColumns({f"by_{k}": F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in (first, *others)})
+    sets = [[columns[0]], *[[columns[0], c] for c in columns[1:]]]
+    # values are counted once in the finest groups; the four groupings add those counts up
+    finest = trial_counts(named, *columns)
+    counts = finest.groupingSets([[F.col(c) for c in (*s, "m", "v")] for s in sets], *[F.col(c) for c in (*columns, "m", "v")]).agg(F.sum("c").alias("c"))
+    return aggregate_counts(counts, *columns).withColumnRenamed(columns[0], first)
 
 
 def confidence_analysis(trials: DataFrame, *keys: str, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
@@ -127,14 +185,15 @@ def call_stats(calls: DataFrame, *keys: str) -> DataFrame:
 
 def resource_summary(samples: DataFrame, *keys: str) -> DataFrame:
     """Wall time and memory of samples; the median is the upper one, not a mean of two."""
-    return samples.groupBy(*keys).agg(
+    plain = samples.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.bround(F.avg("wall_s"), 3).alias("wall_s_mean"),
-        F.bround(_at(0.5, "wall_s"), 3).alias("wall_s_median"),
-        F.bround(_at(0.9, "wall_s"), 3).alias("wall_s_p90"),
         F.bround(F.max("wall_s"), 3).alias("wall_s_max"),
         F.bround(F.max("rss_peak_bytes") / 1_000_000, 1).alias("rss_peak_mb_max"),
     )
+    ranks = select_ranks(value_counts(samples, list(keys), [F.col("wall_s")]), list(keys), {"_middle": (0, upper_middle), "_p90": (0, at_share(0.9))})
+    rounded = [F.bround("_middle", 3).alias("wall_s_median"), F.bround("_p90", 3).alias("wall_s_p90")]
+    return beside(plain, ranks, list(keys)).select(*keys, "n", "wall_s_mean", *rounded, "wall_s_max", "rss_peak_mb_max")
 
 
 def absent_summary(trials: DataFrame, *keys: str) -> DataFrame:
@@ -165,8 +224,7 @@ def pair_with_truth(hits: DataFrame, targets: DataFrame, keys: tuple[str, ...] =
     """
     found = hits.select(*keys, F.col("box").alias("pred_box"), "confidence", "refined", F.lit(True).alias("found"))
     rows = targets.join(found, list(keys), "left").withColumn("found", F.coalesce("found", F.lit(False))).withColumn("refined", F.coalesce("refined", F.lit(False)))
-    scored = rows.withColumn("score", F.when(F.col("found"), score_one(F.col("pred_box"), F.col("true_box"))))
-    return scored.select("*", "score.*").drop("score")
+    return with_scores(rows, found="found")
 
 
 def peak_memory(samples: DataFrame, *keys: str) -> DataFrame:

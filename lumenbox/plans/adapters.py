@@ -59,8 +59,7 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((F.col("p") + F.col("s") * 3) % 2000).cast("double") / 100).alias("latency_s"),
         t.alias("true_box"), g.make_box(t["x1"] + dx, t["y1"] + dy, t["x2"] + dx, t["y2"] + dy).alias("pred_box"),
     )
-    scored = rows.withColumn("score", F.when(F.col("found"), metrics.score_one(F.col("pred_box"), F.col("true_box"))))
-    return scored.select("*", "score.*").drop("score")
+    return metrics.with_scores(rows, found="found")
 
 
 def iou_sql(a: str, b: str) -> str:
