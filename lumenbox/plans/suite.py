@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import parsing, text
-from ..operators import audit, datagen, inference, layout, metrics, planning, report, rules, tasks
+from ..operators import audit, containment, datagen, inference, layout, metrics, planning, report, rules, tasks
 from ..sources import registry
 from . import adapters as a
 
@@ -336,6 +336,41 @@ def j03_ocr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.table(spark, sf_dir, "conversations").withColumn("s", score).select("conv_id", "turn", "s.found", "s.expected", "s.read", "s.recall", "s.spurious")
 
 
+_LINES = r"""lines AS (SELECT item_id, n, lower(regexp_replace(line, '[^\p{L}\p{N}]', '', 'g')) AS line FROM (
+      SELECT item_id, unnest(string_split(text, '.')) AS line, unnest(range(len(string_split(text, '.')))) AS n FROM benchmark)),
+    pieces AS (SELECT item_id, n, line FROM lines UNION ALL SELECT item_id, n + 1000, left(line, 9) FROM lines UNION ALL SELECT item_id, n + 2000, left(line, 2) FROM lines),
+    read AS (SELECT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS text FROM documents)"""
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sentences of the benchmark, whole and cut to 9 and 2 characters, and the documents: both normalised."""
+    lines = a.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("n", "line"))
+    lines = lines.select("item_id", F.col("n").cast("long").alias("n"), text.normalise_ocr(F.col("line")).alias("line"))
+    pieces = lines.unionByName(lines.select("item_id", F.col("n") + 1000, F.left("line", F.lit(9)).alias("line")).toDF("item_id", "n", "line"))
+    pieces = pieces.unionByName(lines.select("item_id", F.col("n") + 2000, F.left("line", F.lit(2))).toDF("item_id", "n", "line"))
+    return pieces, a.table(spark, sf_dir, "documents").select("doc_id", text.normalise_ocr(F.col("text")).alias("text"))
+
+
+@query(
+    _with(_LINES)
+    + """, held AS (SELECT line, (SELECT count(*) FROM read WHERE read.text = w.line OR (length(w.line) > 3 AND contains(read.text, w.line))) AS texts FROM (SELECT DISTINCT line FROM pieces WHERE line <> '') w)
+    SELECT item_id, n, line, coalesce(texts, 0) AS texts FROM pieces LEFT JOIN held USING (line)"""
+)
+def j03_corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents hold each line of the benchmark, by containment of the normalised texts."""
+    return containment.corpus_lines(*_corpus(spark, sf_dir), "doc_id").select("item_id", "n", "line", "texts")
+
+
+@query(
+    _with(_LINES)
+    + """, held AS (SELECT line, (SELECT count(*) FROM read WHERE read.text = w.line OR (length(w.line) > 3 AND contains(read.text, w.line))) AS texts FROM (SELECT DISTINCT line FROM pieces WHERE line <> '') w),
+    s AS (SELECT count(*) AS expected, CAST(count_if(texts > 0) AS BIGINT) AS found FROM pieces JOIN held USING (line)), r AS (SELECT count(DISTINCT text) AS n FROM read WHERE text <> '')
+    SELECT round_even(found / expected, 4) AS recall, found, expected, r.n AS "read", greatest(0, r.n - found) AS spurious FROM s, r"""
+)
+def a06_corpus_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.corpus_score(*_corpus(spark, sf_dir), "doc_id")
+
+
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'qwen2.5-vl-3b' WHEN 1 THEN 'qwen2-vl-2b' WHEN 2 THEN 'qwen2.5-vl-7b' ELSE 'qwen2-vl-2b' END AS spec, CASE event_id % 4 WHEN 0 THEN 'abs' WHEN 2 THEN 'abs' ELSE 'rel1000' END AS coord_mode FROM events")
 def j05_model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in ("qwen2.5-vl-3b", "qwen2-vl-2b", "Qwen/Qwen2.5-VL-7B-Instruct", "Qwen/Qwen2-VL-2B-Instruct")])
@@ -528,7 +563,7 @@ def u07_ocr_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(a.TRIALS)
-    + """, d AS (SELECT variant, screen_id, list({'label': target, 'c': confidence, 'x1': px1, 'y1': py1, 'x2': px2, 'y2': py2} ORDER BY ord) AS items FROM (SELECT t.*, m.px1, m.py1, m.px2, m.py2 FROM trials t JOIN moved m ON t.screen_id = m.screen_id AND t.ord = m.ord) GROUP BY 1, 2)
+    + """, d AS (SELECT variant, screen_id, list({'label': target, 'c': confidence, 'x1': px1, 'y1': py1, 'x2': px2, 'y2': py2} ORDER BY ord) AS items FROM (SELECT *, text AS target FROM moved) GROUP BY 1, 2)
     SELECT variant, screen_id, array_to_string([ '<tr><td>' || left(i.label, 180) || '</td><td>' || concat_ws(', ', CAST(round_even(i.x1, 0) AS BIGINT), CAST(round_even(i.y1, 0) AS BIGINT), CAST(round_even(i.x2, 0) AS BIGINT), CAST(round_even(i.y2, 0) AS BIGINT)) || '</td><td><span class=''' ||
       CASE WHEN i.c IS NULL THEN 'none' WHEN i.c >= 0.75 THEN 'high' WHEN i.c >= 0.5 THEN 'medium' ELSE 'low' END || '''>' || coalesce(CAST(round_even(i.c, 2) AS VARCHAR), '-') || '</span></td></tr>' FOR i IN items], '') AS rows FROM d"""
 )
@@ -611,7 +646,7 @@ def u07_diff_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(a.TRIALS)
-    + f""", b AS (SELECT t.variant, t.screen_id, t.ord, t.role, t.confidence, greatest(m.px1 - 3, 0) AS x1, greatest(m.py1 - 3, 0) AS y1, least(m.px2 + 3, {W}) AS x2, least(m.py2 + 3, {H}) AS y2 FROM trials t JOIN moved m ON t.screen_id = m.screen_id AND t.ord = m.ord)
+    + f""", b AS (SELECT screen_id, ord, role, confidence, greatest(px1 - 3, 0) AS x1, greatest(py1 - 3, 0) AS y1, least(px2 + 3, {W}) AS x2, least(py2 + 3, {H}) AS y2 FROM moved)
     SELECT screen_id || ':' || ord AS screen_id, role AS kind, confidence IS NULL OR confidence >= 0.55 AS kept, round_even(x1, 1) AS x1, round_even(y1, 1) AS y1, round_even(x2, 1) AS x2, round_even(y2, 1) AS y2 FROM b"""
 )
 def u07_redact_task(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenbox.functions import geometry as g
-from lumenbox.operators import layout, metrics, selection
+from lumenbox.operators import containment, layout, metrics, selection
 
 NAN, INF = float("nan"), float("inf")
 
@@ -94,3 +94,20 @@ def test_candidates_are_linear_on_a_dense_screen(spark):
     pairs = per_cell.select(F.sum(F.col("count") * (F.col("count") - 1) / 2)).head()[0]
     assert cells.count() < 6 * 5000 and pairs < 20 * 5000
     assert cells.where("_home").count() == 5003
+
+
+def test_containment_equals_brute_force(spark):
+    rng = random.Random(4)
+    texts = [(k, "".join(rng.choice("abc") for _ in range(rng.choice([0, 2, 3, 8, 40, 200])))) for k in range(150)] + [(900, None), (901, "abc"), (902, "abc")]
+    lines = ["", "ab", "abc", "abca", "zzzz", "a" * 30, None, *[t[a : a + n] for _, t in texts[:60] if t for a, n in [(rng.randrange(len(t)), rng.choice([2, 3, 4, 7, 11, 12, 13, 30]))]]]
+    lines += lines[:4]
+    want = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "n long, line string")
+    read = spark.createDataFrame(texts, "doc_id long, text string")
+    out = containment.corpus_lines(want, read, "doc_id")
+    holds = lambda x: sum(bool(x) and t is not None and (t == x or (len(x) > 3 and x in t)) for _, t in texts)
+    assert {r["n"]: (r["line"], r["texts"]) for r in out.collect()} == {k: (x, holds(x)) for k, x in enumerate(lines)}
+    score = containment.corpus_score(want, read, "doc_id").head()
+    told = [x for x in lines if x]
+    assert (score["expected"], score["found"], score["read"]) == (len(told), sum(holds(x) > 0 for x in told), len({t for _, t in texts if t}))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
