@@ -41,9 +41,13 @@ def refine_accepts(candidate: Column, region: Column, containment: float = 0.55)
 def on_view(items: DataFrame, w: str = "w", h: str = "h", tf: str = "tf", mode: str = "mode") -> DataFrame:
     """Parsed ``items`` exploded, in pixels of the view, clamped; empty ones dropped unless points; box in original space."""
     rows = items.select("*", F.posexplode("items").alias("pos", "item")).drop("items")
-    rows = rows.withColumn("view_box", g.clamp_box(g.model_to_pixels(F.col("item.box"), F.col(w), F.col(h), F.col(mode)), F.col(w), F.col(h)))
-    rows = rows.where((g.area(F.col("view_box")) > 0) | F.coalesce(F.col("item.point"), F.lit(False)))
-    return rows.withColumn("box", g.to_original(F.col(tf), F.col("view_box")))
+    # corners in pixels are columns of their own, so that generated code stays small enough to be compiled
+    pixels = g.model_to_pixels(F.col("item.box"), F.col(w), F.col(h), F.col(mode))
+    rows = rows.withColumns({f"_{k}": F.least(F.greatest(pixels[k], F.lit(0.0)), F.col(h if k[0] == "y" else w).cast("double")) for k in ("x1", "y1", "x2", "y2")})
+    low_high = [f(F.col(f"_{axis}1"), F.col(f"_{axis}2")) for f in (F.least, F.greatest) for axis in "xy"]
+    wide = (F.col("_x1") != F.col("_x2")) & (F.col("_y1") != F.col("_y2"))
+    rows = rows.where(wide | F.coalesce(F.col("item.point"), F.lit(False))).withColumn("view_box", g.make_box(*low_high))
+    return rows.drop("_x1", "_y1", "_x2", "_y2").withColumn("box", g.to_original(F.col(tf), F.col("view_box")))
 
 
 def first_accepted(candidates: DataFrame, keys: list[str], position: str, condition: Column, value: str) -> DataFrame:
