@@ -112,22 +112,42 @@ def test_commands(spark, tmp_path):
 
 
 def test_sources(spark, tmp_path):
+    failures = []
+
     class Shard(BaseHTTPRequestHandler):
         def do_GET(self):
-            self.send_response(206)
+            if self.path == "/index":
+                body = json.dumps({"siblings": [{"rfilename": n} for n in ("1.safetensors", "config.json", "readme.md", "2.safetensors")]}).encode()
+            else:
+                body = b'{"tie_word_embeddings": true}' if "config" in self.path else header(int(self.path[-13])) + b"x" * 1000
+            if len(failures) < 2 and self.path != "/index":  # the first reads of files fail
+                failures.append(self.path)
+                self.send_response(503)
+                self.end_headers()
+                return
+            asked = self.headers.get("Range")
+            if asked and "2.safe" not in self.path:  # one file's server knows no ranges
+                low, high = map(int, asked.removeprefix("bytes=").split("-"))
+                self.send_response(206)
+                body = body[low : high + 1]
+            else:
+                self.send_response(200)
             self.end_headers()
-            self.wfile.write(header(int(self.path[1])))
+            self.wfile.write(body)
 
         def log_message(self, *args):
             pass
 
     server = HTTPServer(("127.0.0.1", 0), Shard)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    spark.dataSource.register(checkpoints.HubHeaders)
     base = f"http://127.0.0.1:{server.server_port}"
-    rows = spark.read.format("hub_headers").option("urls", f"{base}/1.safetensors,{base}/2.safetensors").option("model", "m").load().collect()
-    server.shutdown()
+    found = checkpoints.checkpoint(spark, index=f"{base}/index", files=f"{base}/files", model="m").persist()
+    rows = found.where("kind = 'header'").collect()
     assert {(r["model"], r["file"], bytes(r["content"])) for r in rows} == {("m", f"{k}.safetensors", header(k)) for k in (1, 2)}
+    assert [tuple(r) for r in checkpoints.configs(found).collect()] == [("m", '{"tie_word_embeddings": true}')] and len(failures) == 2
+    named = checkpoints.checkpoint(spark, urls=f"{base}/1.safetensors", model="n").collect()
+    server.shutdown()
+    assert [(r["model"], bytes(r["content"])) for r in named] == [("n", header(1))]
     with pytest.raises(ValueError, match="live screen"):
         checkpoints.load(spark, "-")
     for k in (1, 2):
@@ -137,3 +157,22 @@ def test_sources(spark, tmp_path):
     (tmp_path / "p.png").write_bytes(png)
     r = checkpoints.load(spark, str(tmp_path / "p.png")).head()
     assert (r["w"], r["h"]) == (640, 480)
+
+
+def test_headers_of_a_large_file_are_all_that_is_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "m").mkdir()
+    with open(tmp_path / "m" / "a.safetensors", "wb") as f:
+        f.write(header(5))
+        f.truncate(1 << 30)  # a sparse file of 1 GB
+    (tmp_path / "m" / "b.safetensors").write_bytes(b"\xff" * 9)  # a length that is not believed
+    (tmp_path / "m" / "config.json").write_text("{broken")
+    reader, read = checkpoints._CheckpointReader({"path": str(tmp_path)}), []
+    whole = reader.bytes_at
+    monkeypatch.setattr(reader, "bytes_at", lambda *a: read.append(whole(*a)) or read[-1])
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [(r[0], r[1], r[2]) for r in rows] == [("m", "a.safetensors", "header"), ("m", "b.safetensors", "header"), ("m", "config.json", "config")]
+    assert rows[0][3] == header(5) and rows[1][3] == b"\xff" * 8 and sum(map(len, read)) < 10_000
+    assert {bytes(r["content"]) for r in checkpoints.local_headers(spark, str(tmp_path)).collect()} == {header(5), b"\xff" * 8}
+    assert [r["config"] for r in checkpoints.local_configs(spark, str(tmp_path)).collect()] == ["{}"]
+    (tmp_path / "none").mkdir()
+    assert checkpoints.local_headers(spark, str(tmp_path / "none")).count() == 0
