@@ -9,9 +9,10 @@ import platform
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import audit, datagen, inference, report, tasks
-from .sources import checkpoints
+from .sources import checkpoints, reports
 
 
 def hardware() -> dict:
@@ -40,18 +41,48 @@ def budget(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def gen_data(spark: SparkSession, args: argparse.Namespace) -> int:
-    report.write_json(datagen.screens(spark, args.n), f"{args.out}/ground_truth")
+    """Screens as JSON, and a picture of each."""
+    built = datagen.screens(spark, args.n)
+    report.write_json(built, f"{args.out}/ground_truth")
+    pictures = reports.files_of(report.drawn_screens(built), F.format_string("screen_%03d", "id"), {".png": F.col("content")})
+    reports.write_files(pictures, f"{args.out}/screens", overwrite=True)
     return 0
 
 
 def find(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Requests and recorded answers are Parquet tables; the result is written as JSON."""
-    recorded = inference.replay_backend(spark.read.parquet(args.answers))
-    out = tasks.find(spark.read.parquet(args.requests), recorded, saver(spark, f"{args.out}/steps"), fallback_tiles=not args.no_tiles)
-    report.write_json(out, f"{args.out}/hits")
+    """Requests and recorded answers are Parquet tables; the result is written as JSON. 1 where nothing is found."""
+    recorded, save = inference.replay_backend(spark.read.parquet(args.answers)), saver(spark, f"{args.out}/steps")
+    requests = spark.read.parquet(args.requests)
+    if args.all:
+        report.write_json(tasks.find_all(requests, recorded, save), f"{args.out}/hits")
+        return 0 if spark.read.text(f"{args.out}/hits").head(1) else 1
+    report.write_json(tasks.find(requests, recorded, save, fallback_tiles=not args.no_tiles), f"{args.out}/hits")
     return 0 if spark.read.json(f"{args.out}/hits").where("found").head(1) else 1
 
 
+def staged(task: str):
+    """A task of several calls, over requests and recorded answers; its rows are written as JSON."""
+
+    def run(spark: SparkSession, args: argparse.Namespace) -> int:
+        recorded = inference.replay_backend(spark.read.parquet(args.answers))
+        out = getattr(tasks, task)(spark.read.parquet(args.requests), recorded, saver(spark, f"{args.out}/steps"))
+        report.write_json(out, f"{args.out}/{task}")
+        return 0
+
+    return run
+
+
+def bench(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Trials of every variant over targets, their summaries, and the three tables of them."""
+    recorded, save = inference.replay_backend(spark.read.parquet(args.answers)), saver(spark, f"{args.out}/steps")
+    trials = save(tasks.bench(spark.read.parquet(args.requests), recorded, save))
+    payload = save(tasks.bench_payload(trials))
+    report.write_json(payload, f"{args.out}/bench")
+    for name, rows in report.bench_tables(payload).items():
+        rows.write.mode("overwrite").option("header", True).csv(f"{args.out}/{name}")
+    return 0
+
+
 def simple(task: str):
     def run(spark: SparkSession, args: argparse.Namespace) -> int:
         recorded = inference.replay_backend(spark.read.parquet(args.answers))
@@ -81,6 +112,10 @@ def parser() -> argparse.ArgumentParser:
     verb("budget", budget, "root")
     verb("gen-data", gen_data, "out").add_argument("--n", type=int, default=24)
     verb("find", find, "requests", "answers", "out").add_argument("--no-tiles", action="store_true")
+    verbs.choices["find"].add_argument("--all", action="store_true")
+    for task in ("ocr", "guide", "diff", "redact"):
+        verb(task, staged(task), "requests", "answers", "out")
+    verb("bench", bench, "requests", "answers", "out")
     for task in ("describe", "ask"):
         verb(task, simple(task), "requests", "answers", "out")
     return top

@@ -211,3 +211,8 @@ def annotate(content: Column | str, boxes: Column | str, bands: Column | str) ->
         return encode_png(framed(rgb, [tuple(p[k] for k in ("x1", "y1", "x2", "y2")) for p in places], [BAND_COLOURS[n] for n in names]))
 
     return _over_pictures(one, "binary", content, boxes, bands)
+
+
+def blank(w: Column | str, h: Column | str) -> Column:
+    """White PNG files of the given sizes."""
+    return _over_pictures(lambda a, b: None if pd.isna(a) or pd.isna(b) else encode_png(np.full((int(b), int(a), 3), 255, np.uint8)), "binary", w, h)

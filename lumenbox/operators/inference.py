@@ -24,6 +24,11 @@ ANSWER = "answer string, prompt_tokens long, new_tokens long, latency_s double"
 GROUND_PROMPT = 'Locate "{target}" in this screenshot.'
 REFINE_PROMPT = 'Locate "{target}" in this enlarged part of a screenshot.'
 VERIFY_PROMPT = 'Is this "{target}"? Answer Yes or No.'
+ALL_PROMPT = 'Locate every "{target}" in this screenshot, as a JSON list.'
+READ_PROMPT = "Read all text in this picture, as a JSON list of lines with their boxes."
+GUIDE_PROMPT = 'List the steps to "{target}", as a JSON list with the element of each.'
+DIFF_PROMPT = "Two screenshots stand side by side. List what differs, as a JSON list with boxes."
+REDACT_PROMPT = "Locate all {target} in this screenshot, as a JSON list with the kind of each."
 
 
 def prompt(template: str, target: Column) -> Column:
@@ -122,11 +127,11 @@ def ground(requests: DataFrame, backend: Backend, save: Callable[[DataFrame], Da
     return out.select(*keys, "box", "label", "refined", "stage", F.lit(None).cast("double").alias("confidence"))
 
 
-def ground_all(answers: DataFrame, max_items: int = 20) -> DataFrame:
-    """Every box of an answer, cut to ``max_items`` in the model's order, then in reading order."""
-    some = boxes_on(answers).where(F.col("pos") < max_items)
-    placed = layout.reading_order(some.select("screen_id", F.col("pos").alias("ord"), "box"))
-    return some.withColumn("ord", F.col("pos").cast("long")).join(placed, ["screen_id", "ord"])
+def ground_all(answers: DataFrame, max_items: int = 20, key: str = "screen_id") -> DataFrame:
+    """Every box of an answer, cut to ``max_items`` in the model's order, then in reading order; ``key`` tells answers apart."""
+    some = boxes_on(answers).where(F.col("pos") < max_items).withColumn("ord", F.col("pos").cast("long"))
+    placed = layout.reading_order(some.select(key, "ord", "box"), screen=key)
+    return some.join(placed, [key, "ord"])
 
 
 def ocr(answers: DataFrame, min_chars: int = 1) -> DataFrame:

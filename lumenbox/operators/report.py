@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pictures
 from ..functions import text as t
 
 
@@ -74,3 +75,17 @@ def summary_tables(bench: DataFrame, by: str) -> DataFrame:
     """Long table (variant, group, n, click_accuracy, tight_iou_mean or NaN) of nested summaries keyed by group."""
     rows = bench.select("variant", F.explode(F.col(by)).alias("group", "s"))
     return rows.select("variant", "group", "s.n", "s.click_accuracy", F.coalesce("s.tight_iou_mean", F.lit(float("nan"))).alias("tight_iou_mean"))
+
+
+def bench_tables(bench: DataFrame) -> dict[str, DataFrame]:
+    """The three tables of a benchmark (variant, summary): overall, by kind of box and by role; NaN where no box is tight."""
+    nested = bench.select("variant", "summary.*")
+    values = ["n", "click_accuracy", "iou_mean", "iou_at_50", "iou_at_75", "tight_iou_mean", "latency_s_median"]
+    overall = nested.select("variant", *[F.coalesce(F.col(f"overall.{v}"), F.lit(float("nan"))).alias(v) if v.startswith("tight") else F.col(f"overall.{v}").alias(v) for v in values])
+    return {"overall": overall, "by_box_kind": summary_tables(nested, "by_box_kind"), "by_role": summary_tables(nested, "by_role")}
+
+
+def drawn_screens(screens: DataFrame) -> DataFrame:
+    """(id, content): a PNG of each synthetic screen, its elements as frames on white; texts are not drawn."""
+    boxes, bands = F.transform("all_elements", lambda e: e["box"]), F.transform("all_elements", lambda e: F.when(e["theme_role"] == "danger", "low").when(e["theme_role"] == "primary", "none").otherwise("medium"))
+    return screens.select("id", pictures.blank(F.get("size", F.lit(0)), F.get("size", F.lit(1))).alias("content"), boxes.alias("boxes"), bands.alias("bands")).select("id", pictures.annotate("content", "boxes", "bands").alias("content"))

@@ -77,6 +77,54 @@ def find(requests: DataFrame, backend: inference.Backend, save: Save, config: ru
     return rows.select(*KEYS, "found", accepted.alias("accepted"), F.col("found").cast("int").alias("count"), hit.alias("hit"), "label", "stage", "tiled")
 
 
+def find_all(requests: DataFrame, backend: inference.Backend, save: Save, max_items: int = 20) -> DataFrame:
+    """(screen_id, target, position, hit, label), a row for each match in reading order; matches are neither refined nor verified."""
+    asked = inference.base_view(requests).withColumn("request", F.struct(*KEYS)).withColumn("prompt", inference.prompt(inference.ALL_PROMPT, F.col("target")))
+    hits = inference.ground_all(save(backend(asked)), max_items, key="request")
+    label = text.first_truthy(F.col("item.label"), F.col("item.text"), F.col("target"))
+    return hits.select("request.*", "position", rules.hit_dict(F.col("box"), F.lit(None).cast("double")).alias("hit"), label.alias("label"))
+
+
+def guide(screens: DataFrame, backend: inference.Backend, save: Save, config: rules.GroundConfig = rules.GroundConfig(), max_steps: int = 6) -> DataFrame:
+    """Screens (screen_id, w, h, goal, mode) to (screen_id, n, instruction, target, resolved, hit, label).
+
+    Steps are numbered as the answer gives them; those that name an element are grounded, once for each element of a screen.
+    """
+    told = save(backend(inference.base_view(screens).withColumn("prompt", inference.prompt(inference.GUIDE_PROMPT, F.col("goal")))))
+    steps = save(inference.guide(told.select("screen_id", "answer"), max_steps))
+    wanted = steps.where(rules.groundable(F.col("target"))).select(*KEYS).distinct()
+    hits = inference.ground(wanted.join(screens.select("screen_id", "w", "h", "mode"), "screen_id"), backend, save, config)
+    found = F.col("box").isNotNull()
+    rows = steps.join(hits.select(*KEYS, "box", "label", "confidence"), KEYS, "left")
+    resolved = rules.resolved(F.col("target"), found, F.col("confidence"), config.accept_threshold)
+    return rows.select("screen_id", "n", "instruction", "target", resolved.alias("resolved"), F.when(found, rules.hit_dict(F.col("box"), F.col("confidence"))).alias("hit"), "label")
+
+
+def redact(screens: DataFrame, backend: inference.Backend, save: Save, kinds: tuple[str, ...] = ("email", "phone", "name"), pad: float = 3.0, method: str = "blur", config: rules.GroundConfig = rules.GroundConfig()) -> DataFrame:
+    """Screens (screen_id, w, h, mode) to findings (screen_id, box, kind, text, confidence, kept, mask), each verified by a call of its own."""
+    wanted = text.kinds_text(F.array(*[F.lit(k) for k in kinds]))
+    told = save(backend(inference.base_view(screens).withColumn("prompt", inference.prompt(inference.REDACT_PROMPT, wanted))))
+    found = inference.boxes_on(told).select("screen_id", "w", "h", "mode", "pos", "box", F.col("item.label").alias("label"), F.col("item.text").alias("text"))
+    named = text.first_truthy(F.col("text"), F.col("label"))
+    around = g.expand_box(F.col("box"), F.col("w"), F.col("h"), 1.6, 12.0, 96.0)
+    cut = save(found).withColumn("cut", g.crop(around, F.col("w"), F.col("h"), F.lit(None).cast(g.TRANSFORM)))
+    view = g.prepare(F.col("cut.w"), F.col("cut.h"), F.col("cut.tf"), F.lit(FACTOR), F.lit(LEAST), F.lit(MOST), F.lit(LEAST))
+    checked = save(backend(cut.withColumn("view", view).drop("cut").withColumn("prompt", inference.prompt(inference.VERIFY_PROMPT, named))))
+    return inference.redact(checked.withColumn("confidence", text.yes_probability(F.col("answer"))), pad, method, config.accept_threshold)
+
+
+def ocr(screens: DataFrame, backend: inference.Backend, save: Save, cols: int = 2, rows: int = 2, min_chars: int = 1) -> DataFrame:
+    """Screens (screen_id, w, h, mode) to lines (screen_id, position, box, text): a call for each tile, read as one."""
+    cut = tiles(screens, cols, rows, READ_OVERLAP)
+    return read_tiles(save(backend(cut.withColumn("prompt", F.lit(inference.READ_PROMPT)))), min_chars)
+
+
+def diff(pairs: DataFrame, backend: inference.Backend, save: Save, gap: int = 16) -> DataFrame:
+    """Pairs (screen_id, before_w, before_h, after_w, after_h, mode) to changes (screen_id, pos, side, box, canvas_box, description)."""
+    canvas = pairs.withColumn("w", F.col("before_w") + gap + F.col("after_w")).withColumn("h", F.greatest("before_h", "after_h"))
+    return inference.diff(save(backend(inference.base_view(canvas).withColumn("prompt", F.lit(inference.DIFF_PROMPT)))), gap)
+
+
 def describe(screens: DataFrame, backend: inference.Backend, question: str = "Describe this screenshot as JSON.") -> DataFrame:
     """(screen_id, view, result, raw): the object that the answer holds, as JSON."""
     told = backend(inference.base_view(screens).withColumn("prompt", F.lit(question)))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenbox import cli
+from lumenbox.functions import pictures
 from lumenbox.operators import inference, report, tasks
 from lumenbox.sources import checkpoints
 
@@ -104,6 +105,8 @@ def test_commands(spark, tmp_path):
     assert cli.main(["find", *options, "--no-tiles"], spark) == 1
     assert cli.main(["gen-data", "--out", out, "--n", "3"], spark) == 0
     assert spark.read.json(f"{out}/ground_truth").count() == 3
+    drawn = [pictures.decode_png(open(f"{out}/screens/screen_00{k}.png", "rb").read()) for k in range(3)]
+    assert {d.shape for d in drawn} == {(800, 1280, 3)} and all((d != 255).any() for d in drawn)
     for name, n, code in (("small", 1000, 0), ("large", 7_000_000, 1)):
         (tmp_path / name).mkdir()
         (tmp_path / name / "a.safetensors").write_bytes(header(n))
