@@ -655,3 +655,44 @@ def u07_redact_task(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.concat(F.lit(" "), F.upper("role"))
     found = t.select(F.concat_ws(":", "screen_id", "ord").alias("screen_id"), F.lit(W).alias("w"), F.lit(H).alias("h"), F.col("pred_box").alias("box"), label.alias("label"), F.col("target").alias("text"), "confidence")
     return inference.redact(found).select("screen_id", "kind", "kept", *_flat(F.col("box")))
+
+
+@query(
+    "WITH RECURSIVE "
+    + a.BOXES.lstrip()
+    + f", seen AS (SELECT screen_id, ord, least(x1, {W}) AS x1, least(y1, {H}) AS y1, least(x2, {W}) AS x2, least(y2, {H}) AS y2, text FROM boxes WHERE ord < 20 AND x1 < {W} AND y1 < {H})"
+    + _ordered("seen")
+    + " SELECT screen_id, position, ord, round_even(x1, 1) AS x1, round_even(y1, 1) AS y1, text AS label FROM placed"
+)
+def w07_ground_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of an answer: the first 20 as the model gives them, then in reading order."""
+    said = a.answers(spark, sf_dir).groupBy("screen_id").agg(F.sort_array(F.collect_list(F.struct("ord", "box", "text"))).alias("l"))
+    places = F.transform("l", lambda x: F.struct(F.array(*[x["box"][k] for k in ("x1", "y1", "x2", "y2")]).alias("bbox_2d"), x["text"].alias("label")))
+    view = F.struct(F.lit(W).alias("w"), F.lit(H).alias("h"), g.make_transform(0, 0, 1, 1).alias("tf"))
+    out = inference.ground_all(said.select("screen_id", F.to_json(places).alias("answer"), view.alias("view"), F.lit("abs").alias("mode")))
+    box = g.rounded(F.col("box"))
+    return out.select("screen_id", "position", "ord", box["x1"].alias("x1"), box["y1"].alias("y1"), F.col("item.label").alias("label"))
+
+
+@query(
+    _with(a.TRIALS)
+    + """, r AS (SELECT screen_id, CASE ord % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE found AND (confidence IS NULL OR confidence >= 0.55) END AS resolved FROM trials)
+    SELECT screen_id, CAST(count_if(resolved) AS BIGINT) AS resolved, count(resolved) AS groundable FROM r GROUP BY screen_id"""
+)
+def a14_guide_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of screens: resolved, and those that name something to resolve."""
+    target = F.when(F.col("ord") % 4 == 0, None).when(F.col("ord") % 4 == 1, "None").otherwise(F.col("target"))
+    return inference.guide_counts(a.trials(spark, sf_dir).select("screen_id", rules.resolved(target, F.col("found"), F.col("confidence")).alias("resolved")))
+
+
+@query(
+    _with(a.CALLS)
+    + """ SELECT backend, call_no, CASE WHEN latency_s > 0 THEN new_tokens / latency_s ELSE 0.0 END AS tokens_per_s FROM calls"""
+)
+def u01_tokens_per_s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.calls(spark, sf_dir).select("backend", "call_no", inference.tokens_per_s(F.col("new_tokens"), F.col("latency_s")).alias("tokens_per_s"))
+
+
+@query("SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS INTEGER) AS words FROM conversations")
+def u01_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.word_count(F.col("text")).alias("words"))
