@@ -7,10 +7,11 @@ The replay backend looks recorded answers up: an equi-join, deterministic, for t
 
 from __future__ import annotations
 
+import resource
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -36,20 +37,22 @@ def prompt(template: str, target: Column) -> Column:
     return F.concat(F.lit(before), target, F.lit(after))
 
 
-def batch_backend(load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> Backend:
+def batch_backend(load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], memory: bool = False) -> Backend:
     """A backend from a loader: the model is loaded once per Python worker and called with whole batches.
 
-    The function it returns maps (image, prompt) rows to columns answer, prompt_tokens, new_tokens, latency_s.
+    The function it returns maps (image, prompt) rows to columns answer, prompt_tokens, new_tokens, latency_s. With
+    ``memory``, rows also have the worker's peak so far, rss_peak_bytes.
     """
 
     def run(requests: DataFrame) -> DataFrame:
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", " + ANSWER
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema) + ", " + ANSWER + (", rss_peak_bytes long" if memory else "")
 
         def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             model = load()
             for batch in batches:
                 if len(batch):
-                    yield pd.concat([batch.reset_index(drop=True), model(batch).reset_index(drop=True)], axis=1)
+                    told = pd.concat([batch.reset_index(drop=True), model(batch).reset_index(drop=True)], axis=1)
+                    yield told.assign(rss_peak_bytes=resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024) if memory else told
 
         return requests.mapInPandas(call, schema)
 
@@ -65,6 +68,35 @@ def replay_backend(recorded: DataFrame, keys: tuple[str, ...] = ("screen_id", "p
     return run
 
 
+class Measured:
+    """A backend whose calls are counted as they are made, in the same pass that makes them.
+
+    Every frame of answers is observed: calls, latency, tokens and peak memory come to the driver as one row when the
+    frame is computed, whatever its size. ``totals()`` adds up the frames that were; one that never is computed would wait.
+    The frames themselves, as saved, are the log of calls.
+    """
+
+    def __init__(self, backend: Backend) -> None:
+        self.backend = backend
+        self.seen: list[Observation] = []
+
+    def __call__(self, requests: DataFrame) -> DataFrame:
+        out, one = self.backend(requests), Observation()
+        self.seen.append(one)
+        made = F.col("answer").isNotNull()
+        peak = F.max("rss_peak_bytes") if "rss_peak_bytes" in out.columns else F.max(F.lit(None).cast("long"))
+        sums = [F.sum(F.when(made, F.col(c))).alias(c) for c in ("latency_s", "prompt_tokens", "new_tokens")]
+        return out.observe(one, F.count_if(made).alias("calls"), *sums, F.max(F.when(made, F.col("latency_s"))).alias("max_call_s"), peak.alias("rss_peak_bytes"))
+
+    def totals(self) -> dict[str, float | int | None]:
+        """As call_stats() over all calls, with the peak of memory; rates are 0 without latency."""
+        rows = [o.get for o in self.seen]
+        added = {k: sum(r[k] or 0 for r in rows) for k in ("calls", "latency_s", "prompt_tokens", "new_tokens")}
+        most = {k: max((r[k] for r in rows if r[k] is not None), default=None) for k in ("max_call_s", "rss_peak_bytes")}
+        spent = added["latency_s"]
+        return added | most | {"mean_call_s": spent / added["calls"] if added["calls"] else None, "decode_tokens_per_s": added["new_tokens"] / spent if spent > 0 else 0.0}
+
+
 def choose_backend(key: str, available: dict[str, Backend], order: tuple[str, ...] = ("mlx", "hf", "replay")) -> Backend:
     """`auto` takes the first that is available; an unknown name is an error."""
     if key == "auto":

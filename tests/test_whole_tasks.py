@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenbox import cli
-from lumenbox.operators import inference, report, tasks
+from lumenbox.operators import inference, metrics, report, tasks
 
 RECORDED = "screen_id long, prompt string, answer string, prompt_tokens long, new_tokens long, latency_s double"
 SCREEN = "screen_id long, w int, h int, mode string"
@@ -109,3 +109,38 @@ def test_batch_backend(spark):
     rows = inference.batch_backend(load)(asked).collect()
     assert {(r["screen_id"], r["answer"], r["prompt_tokens"]) for r in rows} == {(k, f"said p{k}", len(f"p{k}")) for k in range(20)}
     assert inference.batch_backend(load)(asked.where("false")).count() == 0
+
+
+def test_observed_calls_equal_the_log(spark, tmp_path):
+    """Totals that come to the driver while calls are made are those of the saved answers."""
+    place = boxes(([100, 100, 140, 120], "save"))
+
+    def load():
+        def model(batch: pd.DataFrame) -> pd.DataFrame:
+            answer = ["Yes" if p.startswith("Is this") else place for p in batch["prompt"]]
+            return pd.DataFrame({"answer": answer, "prompt_tokens": batch["prompt"].str.len(), "new_tokens": 3, "latency_s": 0.25}, index=batch.index)
+
+        return model
+
+    kept = []
+
+    def save(df):
+        path = str(tmp_path / f"t{len(kept)}")
+        df.write.parquet(path)
+        kept.append(spark.read.parquet(path))
+        return kept[-1]
+
+    asked = spark.createDataFrame([(k, 1260, 784, f"Save {k % 3}", "abs") for k in range(7)], "screen_id long, w int, h int, target string, mode string")
+    backend = inference.Measured(inference.batch_backend(load, memory=True))
+    out = save(inference.ground(asked, backend, save))
+    assert out.where("confidence = 1").count() == 7
+    totals = backend.totals()
+    saved = [df for df in kept if "answer" in df.columns]
+    logged = [metrics.call_stats(df).head() for df in saved]
+    verified = out.count()  # the last calls' answers are read off at once, one for each hit
+    assert totals["calls"] == sum(r["calls"] for r in logged) + verified == 21
+    assert totals["new_tokens"] == 63 and totals["latency_s"] == 5.25 and totals["max_call_s"] == 0.25 and totals["decode_tokens_per_s"] == 12.0
+    assert totals["rss_peak_bytes"] > 10_000_000
+    none = inference.Measured(inference.batch_backend(load))
+    save(none(asked.where("false").withColumn("prompt", F.lit("x"))))
+    assert (none.totals()["calls"], none.totals()["mean_call_s"], none.totals()["decode_tokens_per_s"]) == (0, None, 0.0)
