@@ -121,11 +121,21 @@ def boxes_on(answers: DataFrame) -> DataFrame:
     return rules.on_view(seen, "view_w", "view_h", "view_tf", "mode").drop("view_w", "view_h", "view_tf")
 
 
+#: A hit's trace: what each stage did, in order
+STEP = f"struct<stage: string, box: {g.BOX}, region: {g.BOX}, confidence: double>"
+
+
+def step(stage: Column, box: Column | None = None, region: Column | None = None, confidence: Column | None = None) -> Column:
+    """One entry of a trace: the box a stage came to (null: none), the region it looked at, and how sure it was."""
+    named = {"stage": stage, "box": box, "region": region, "confidence": confidence}
+    return F.struct(*[(F.lit(None) if v is None else v).alias(k) for k, v in named.items()]).cast(STEP)
+
+
 def ground(requests: DataFrame, backend: Backend, save: Callable[[DataFrame], DataFrame], config: rules.GroundConfig = rules.GroundConfig(), refine: bool = True, verify: bool | None = None, factor: int = 28, least: int = 256 * 28 * 28, most: int = 1280 * 28 * 28) -> DataFrame:
     """Coarse, zoom and verify for requests (screen_id, w, h, target, mode); one row for each target found.
 
     ``save`` writes a frame to a table and reads it back; it is called after every stage of model calls.
-    Returns (screen_id, target, box, label, refined, stage, confidence).
+    Returns (screen_id, target, box, label, refined, stage, confidence, trace); the trace has an entry for each stage in order.
     """
     verify = config.verify if verify is None else verify
     seen = base_view(requests, factor, least, most)
@@ -134,7 +144,7 @@ def ground(requests: DataFrame, backend: Backend, save: Callable[[DataFrame], Da
     keys = ["screen_id", "target"]
     first = coarse.groupBy(*keys).agg(F.min_by(F.struct("w", "h", "mode", "box", F.col("item.label").alias("label")), "pos").alias("c")).select(*keys, "c.*")
     hits = save(first)
-    out = hits.select(*keys, "w", "h", "mode", "box", "label", F.lit(False).alias("refined"), F.lit("coarse").alias("stage"))
+    out = hits.select(*keys, "w", "h", "mode", "box", "label", F.lit(False).alias("refined"), F.lit("coarse").alias("stage"), F.array(step(F.lit("coarse"), F.col("box"))).alias("trace"))
     if refine:
         w, h = F.col("w"), F.col("h")
         region = g.expand_box(F.col("box"), w, h, config.zoom_scale, config.zoom_pad, config.zoom_min_size)
@@ -145,9 +155,12 @@ def ground(requests: DataFrame, backend: Backend, save: Callable[[DataFrame], Da
         found = boxes_on(zoomed)
         good = rules.refine_accepts(F.col("box"), F.col("region"), config.refine_containment)
         picked = rules.first_accepted(found.withColumn("hit", F.struct("box", F.col("item.label").alias("label"))), keys, "pos", good, "hit")
+        large = rules.too_big(F.col("box"), w, h, config.zoom_skip_area_frac)
+        looked = step(F.when(large, "zoom skipped").otherwise("zoom"), F.col("better"), F.when(~large, region))
         out = out.join(picked.select(*keys, F.col("hit.box").alias("better"), F.col("hit.label").alias("named")), keys, "left").select(
             *keys, "w", "h", "mode", F.coalesce("better", "box").alias("box"), F.coalesce(text.non_empty(F.col("named")), "label").alias("label"),
             F.col("better").isNotNull().alias("refined"), F.when(F.col("better").isNotNull(), "refined").otherwise("coarse").alias("stage"),
+            F.array_append("trace", looked).alias("trace"),
         )
     if verify:
         out = save(out)
@@ -155,8 +168,10 @@ def ground(requests: DataFrame, backend: Backend, save: Callable[[DataFrame], Da
         cut = g.crop(region, F.col("w"), F.col("h"), F.lit(None).cast(g.TRANSFORM))
         asked = out.withColumn("cut", cut).withColumn("view", g.prepare(F.col("cut.w"), F.col("cut.h"), F.col("cut.tf"), F.lit(factor), F.lit(least), F.lit(most), F.lit(least)))
         told = backend(asked.drop("cut").withColumn("prompt", prompt(VERIFY_PROMPT, F.col("target"))))
-        return told.withColumn("confidence", text.yes_probability(F.col("answer"))).select(*keys, "box", "label", "refined", "stage", "confidence")
-    return out.select(*keys, "box", "label", "refined", "stage", F.lit(None).cast("double").alias("confidence"))
+        sure = told.withColumn("confidence", text.yes_probability(F.col("answer")))
+        checked = step(F.lit("verify"), F.col("box"), region, F.col("confidence"))
+        return sure.select(*keys, "box", "label", "refined", "stage", "confidence", F.array_append("trace", checked).alias("trace"))
+    return out.select(*keys, "box", "label", "refined", "stage", F.lit(None).cast("double").alias("confidence"), "trace")
 
 
 def ground_all(answers: DataFrame, max_items: int = 20, key: str = "screen_id") -> DataFrame:

@@ -37,7 +37,7 @@ def covered(box: Column, region: Column, least: float) -> Column:
 
 
 def search_tiles(requests: DataFrame, backend: inference.Backend, save: Save, cols: int = 2, rows: int = 2) -> DataFrame:
-    """(screen_id, target, box, label, confidence, stage): the best verified candidate of all tiles, by a strict scan in order."""
+    """(screen_id, target, box, label, confidence, stage, trace): the best verified candidate of all tiles, by a strict scan in order."""
     asked = tiles(requests, cols, rows, SEARCH_OVERLAP).withColumn("prompt", inference.prompt(inference.REFINE_PROMPT, F.col("target")))
     found = inference.boxes_on(save(backend(asked))).where(covered(F.col("box"), F.col("region"), SEARCH_COVERAGE))
     place = F.struct("r", "c", "pos")
@@ -52,7 +52,8 @@ def search_tiles(requests: DataFrame, backend: inference.Backend, save: Save, co
     listed = scored.groupBy(*KEYS).agg(queue.alias("q")).select(*KEYS, F.posexplode("q").alias("pos", "x")).select(*KEYS, F.col("pos").cast("long").alias("pos"), "x.*")
     won = rules.best_tile(listed, KEYS).select(*KEYS, "pos")
     stage = F.format_string("tile[%d,%d]", F.col("place.r"), F.col("place.c"))
-    return listed.join(won, [*KEYS, "pos"]).select(*KEYS, "box", "label", "confidence", stage.alias("stage"))
+    trace = F.array(inference.step(stage, F.col("box"), None, F.col("confidence")))
+    return listed.join(won, [*KEYS, "pos"]).select(*KEYS, "box", "label", "confidence", stage.alias("stage"), trace.alias("trace"))
 
 
 def locate(requests: DataFrame, backend: inference.Backend, save: Save, config: rules.GroundConfig = rules.GroundConfig(), fallback_tiles: bool = True) -> DataFrame:
@@ -62,19 +63,22 @@ def locate(requests: DataFrame, backend: inference.Backend, save: Save, config:
         return hit
     sure = hit.where(F.col("confidence").isNull() | (F.col("confidence") >= config.accept_threshold)).select(*KEYS)
     other = search_tiles(requests.join(sure, KEYS, "left_anti"), backend, save).withColumn("refined", F.lit(True)).withColumn("tiled", F.lit(True))
-    names = ["box", "label", "refined", "stage", "confidence", "tiled"]
+    names = ["box", "label", "refined", "stage", "confidence", "tiled", "trace"]
     both = hit.select(*KEYS, F.struct(*names).alias("hit")).join(other.select(*KEYS, F.struct(*names).alias("tile")), KEYS, "full")
     choice = rules.locate_choice(F.col("hit").isNotNull(), F.col("hit.confidence"), F.col("tile").isNotNull(), F.col("tile.confidence"), config.accept_threshold)
-    return both.withColumn("best", F.when(choice == "tile", F.col("tile")).otherwise(F.col("hit"))).select(*KEYS, "best.*")
+    best = both.withColumn("best", F.when(choice == "tile", F.col("tile")).otherwise(F.col("hit")))
+    # a tile that wins goes on from what the first stages did
+    trace = F.when(choice == "tile", F.concat(F.coalesce(F.col("hit.trace"), F.array().cast(f"array<{inference.STEP}>")), F.col("tile.trace"))).otherwise(F.col("hit.trace"))
+    return best.select(*KEYS, *[F.col(f"best.{c}") for c in names[:-1]], trace.alias("trace"))
 
 
 def find(requests: DataFrame, backend: inference.Backend, save: Save, config: rules.GroundConfig = rules.GroundConfig(), fallback_tiles: bool = True) -> DataFrame:
-    """(screen_id, target, found, accepted, count, hit), one row per request."""
+    """(screen_id, target, found, accepted, count, hit, label, stage, tiled, trace), one row per request."""
     hits = locate(requests, backend, save, config, fallback_tiles)
     rows = requests.select(*KEYS).join(hits, KEYS, "left").withColumn("found", F.col("box").isNotNull())
     accepted = rules.accepted(F.col("found"), F.col("confidence"), config.accept_threshold)
     hit = F.when(F.col("found"), rules.hit_dict(F.col("box"), F.col("confidence")))
-    return rows.select(*KEYS, "found", accepted.alias("accepted"), F.col("found").cast("int").alias("count"), hit.alias("hit"), "label", "stage", "tiled")
+    return rows.select(*KEYS, "found", accepted.alias("accepted"), F.col("found").cast("int").alias("count"), hit.alias("hit"), "label", "stage", "tiled", "trace")
 
 
 def find_all(requests: DataFrame, backend: inference.Backend, save: Save, max_items: int = 20) -> DataFrame:

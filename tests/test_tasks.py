@@ -54,6 +54,9 @@ def test_find(spark, save):
     assert got[4]["tiled"] is False  # a tile's hit of the same confidence does not replace the first
     tile = tasks.tiles(requests.where("screen_id = 3"), 2, 2, tasks.SEARCH_OVERLAP).where("r = 0 AND c = 0").select("view.*", "region").head()
     assert got[3]["hit"]["box"]["x1"] == pytest.approx(300 * tile["tf"]["sx"], abs=0.05)
+    told = {k: [(t["stage"], t["box"] is not None, t["region"] is not None, t["confidence"]) for t in got[k]["trace"] or ()] for k in got}
+    assert told[1] == [("coarse", True, False, None), ("zoom", False, True, None), ("verify", True, True, 1.0)] and told[2] == []
+    assert told[3] == [("tile[0,0]", True, False, 1.0)] and [t[0] for t in told[4]] == ["coarse", "zoom", "verify"] and told[4][-1][-1] == 0.0
     plain = tasks.find(requests, backend, save, fallback_tiles=False)
     assert plain.where("found").count() == 2
 
