@@ -1,16 +1,21 @@
 """License scan in DataFrame operations alone: TF-IDF cosine to templates, then inheritance by directory.
 
-Templates are the sentences by which texts declare a license, and whole license texts.
+Templates are the sentences by which texts declare a license, whole texts of short licenses, and passages that
+stand at the head of long licenses or are pasted at the head of files.
 
 1. One pass over the texts. Each is split into words once; what is kept of it are the template terms it holds, its
-   number of distinct words, and its statements: places where at least two of MARKS, words of license
-   statements, stand no more than GAP words apart, with the statement terms around them. So a statement is found
-   wherever lines break. Texts without such a place keep none.
+   number of distinct words, and two kinds of places:
+   - statements: at least two of MARKS, words of license statements, stand no more than GAP words apart, with the
+     statement terms around them. So a statement is found wherever lines break.
+   - windows as long as the texts and passages (SPANS), a quarter of their length apart, that hold DENSE marks or more, and
+     as many template terms as a cosine of WHOLE needs. So a license is found within a longer file;
+   - runs of RUN or more template terms, with DENSE marks or more: the extent of a license that words of other kinds surround.
+   Texts without such places keep none.
 2. Weights: a template term weighs by its document frequency over all texts, any other word as if a share of
    RAREST held it, so a cosine doesn't depend on the size of the table. A word counts once for a statement or text.
-3. Statements and whole texts are compared with every template by the cosine of sparse TF-IDF vectors, equal ones
-   (same terms, same number of words) once. A statement of HEADER or more, or a whole text of WHOLE or more,
-   gives its file a license; a file whose whole text reaches WHOLE is a license file, as is one named so that has a license.
+3. Statements, windows, runs and whole texts are compared with every template by the cosine of sparse TF-IDF vectors, equal ones
+   (same terms, same number of words) once. A statement of HEADER or more, or a window, run or whole text of
+   WHOLE or more, gives its file a license; a file whose whole text reaches WHOLE is a license file, as is one named so that has a license.
 4. A file without a license of its own takes that of the license file in its nearest directory upwards. Each
    distinct directory is resolved once, by an equi-join of its ancestors with the directories of license
    files; files then join their directory.
@@ -36,6 +41,9 @@ WHOLE = 0.7
 RAREST = 0.001  # share of texts below which words weigh the same
 GAP = 8  # words from a mark to the next of a statement at most
 BESIDE = 12  # statement terms on either side of the marks that may belong to a statement
+SPANS = (32, 48, 72, 108, 162, 243)  # words of windows; a text or passage has the next longer one
+DENSE = 2  # marks of a window or run at least
+RUN = 16  # words of a run at least
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
 #: Words of which every license statement has two
@@ -85,6 +93,40 @@ TEXTS = [
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
 
+#: The openings of long licenses, and notices pasted at the head of files
+_GPL_HEADER = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_GPL_WARNING = "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details."
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+_CC = "{0} 4.0 International Public License. By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {0} 4.0 International Public License (\"Public License\"). To the extent this Public License may be interpreted as a contract, You are granted the Licensed Rights in consideration of Your acceptance of these terms and conditions, and the Licensor grants You such rights in consideration of benefits the Licensor receives from making the Licensed Material available under these terms and conditions."
+PASSAGES = [
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM} Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("AGPL-3.0", "This program is free software: " + _GPL_HEADER.format("Affero General Public License", 3)),
+    ("AGPL-3.0", f"This program is free software: {_GPL_HEADER.format('Affero General Public License', 3)} This program {_GPL_WARNING.format('Affero General Public License')}"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("CC-BY-4.0", _CC.format("Attribution")),
+    ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial")),
+    ("CC-BY-SA-4.0", _CC.format("Attribution-ShareAlike")),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP. CREATIVE COMMONS PROVIDES THIS INFORMATION ON AN \"AS-IS\" BASIS. CREATIVE COMMONS MAKES NO WARRANTIES REGARDING THE USE OF THIS DOCUMENT OR THE INFORMATION OR WORKS PROVIDED HEREUNDER, AND DISCLAIMS LIABILITY FOR DAMAGES RESULTING FROM THE USE OF THIS DOCUMENT OR THE INFORMATION OR WORKS PROVIDED HEREUNDER."),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM} Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("GPL-2.0", "This program is free software; " + _GPL_HEADER.format("General Public License", 2)),
+    ("GPL-2.0", f"This program is free software; {_GPL_HEADER.format('General Public License', 2)} This program {_GPL_WARNING.format('General Public License')}"),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM} Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works."),
+    ("GPL-3.0", "This program is free software: " + _GPL_HEADER.format("General Public License", 3)),
+    ("GPL-3.0", f"This program is free software: {_GPL_HEADER.format('General Public License', 3)} This program {_GPL_WARNING.format('General Public License')}"),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("LGPL-2.1", f"GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. {_VERBATIM} This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1."),
+    ("LGPL-2.1", "This library is free software; " + _GPL_HEADER.format("Lesser General Public License", "2.1")),
+    ("LGPL-2.1", f"This library is free software; {_GPL_HEADER.format('Lesser General Public License', '2.1')} This library {_GPL_WARNING.format('Lesser General Public License')}"),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM} This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. \"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. 1.2. \"Contributor Version\" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution. 1.3. \"Contribution\" means Covered Software of a particular Contributor. 1.4. \"Covered Software\" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -92,7 +134,7 @@ def words(text: Column) -> Column:
 
 def template_terms() -> list[tuple[int, str, list[str]]]:
     """(template, license, distinct terms) of all templates; they are ASCII, where this split equals words()."""
-    return [(k, name, sorted(set(re.findall("[a-z0-9]+", text.lower())))) for k, (name, text) in enumerate([*STATEMENTS, *TEXTS])]
+    return [(k, name, sorted(set(re.findall("[a-z0-9]+", text.lower())))) for k, (name, text) in enumerate([*STATEMENTS, *TEXTS, *PASSAGES])]
 
 
 def _values(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
@@ -106,9 +148,40 @@ def _literals(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _statements(w: Column, near: list[str]) -> Column:
+def spans() -> list[int]:
+    """The window lengths that texts and passages have."""
+    sizes = [len(re.findall("[a-z0-9]+", text.lower())) for _, text in [*TEXTS, *PASSAGES]]
+    return sorted({next(s for s in SPANS if s >= n) for n in sizes})
+
+
+def _windows(w: Column, marks: Column) -> Column:
+    """The words of each window with DENSE marks or more: the windows that hold a mark and the DENSE - 1 after it, once each."""
+
+    def of(span: int) -> Column:
+        step = span // 4
+
+        def around(a: Column, i: Column) -> Column:
+            b = F.get(marks, i + DENSE - 1)
+            low = F.floor((F.greatest(F.lit(0), b - span + 1) + step - 1) / step).cast("int")
+            high = F.floor(a / step).cast("int")
+            return F.when(b.isNotNull() & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+        return F.transform(F.array_distinct(F.flatten(F.transform(marks, around))), lambda k: F.slice(w, k * step + 1, F.lit(span)))
+
+    return F.concat(*[of(s) for s in spans()])
+
+
+def _runs(w: Column, marks: Column, known: list[str]) -> Column:
+    """The maximal runs of RUN ``known`` words or more, with DENSE marks or more."""
+    others = F.filter(F.transform(w, lambda x, i: F.when(~x.isin(known), i)), lambda i: i.isNotNull())
+    before, after = F.concat(F.array(F.lit(-1)), others), F.concat(others, F.array(F.size(w)))
+    ends = F.filter(F.arrays_zip(before.alias("0"), after.alias("1")), lambda e: e["1"] - e["0"] > RUN)
+    runs = F.transform(ends, lambda e: F.slice(w, e["0"] + 2, e["1"] - e["0"] - 1))
+    return F.when(F.size(marks) >= DENSE, F.filter(runs, lambda x: F.size(F.filter(x, lambda v: v.isin(MARKS))) >= DENSE)).otherwise(F.array())
+
+
+def _statements(w: Column, marks: Column, near: list[str]) -> Column:
     """The words of each statement in an array of words: marks of GAP words at most apart, and the terms of ``near`` beside them."""
-    marks = F.filter(F.transform(w, lambda x, i: F.when(x.isin(MARKS), i)), lambda i: i.isNotNull())
     first = F.filter(marks, lambda i, k: (k == 0) | (i - F.get(marks, k - 1) > GAP))
     last = F.filter(marks, lambda i, k: (k == F.size(marks) - 1) | (F.get(marks, k + 1) - i > GAP))
 
@@ -139,9 +212,16 @@ def license_scan(files: DataFrame, key: str = "doc_id") -> DataFrame:
     split = files.select("id", "path", words(F.col("text")).alias("w"))
     distinct = split.select("id", "path", "w", F.array_distinct("w").alias("d"))
     held = distinct.select("id", "path", "w", F.size("d").alias("n"), F.array_sort(F.array_intersect("d", known)).alias("terms"))
-    unit = F.transform("u", lambda x: F.struct(F.array_sort(F.array_intersect(x, known)).alias("terms"), F.size(F.array_distinct(x)).alias("n")))
-    found = held.select("id", "path", "n", "terms", F.when(F.size(F.array_intersect("terms", marks)) > 1, _statements(F.col("w"), near)).otherwise(F.array()).alias("u"))
-    scanned = materialise(found.select("id", "path", "n", "terms", unit.alias("units")), "words")
+
+    def unit(part: str, window: bool) -> Column:
+        return F.transform(part, lambda x: F.struct(F.array_sort(F.array_intersect(x, known)).alias("terms"), F.size(F.array_distinct(x)).alias("n"), F.lit(window).alias("window")))
+
+    at = F.filter(F.transform("w", lambda x, i: F.when(x.isin(MARKS), i)), lambda i: i.isNotNull())
+    marked = held.select("id", "path", "w", "n", "terms", F.when(F.size(F.array_intersect("terms", marks)) > 1, at).otherwise(F.array().cast("array<int>")).alias("m"))
+    found = marked.select("id", "path", "n", "terms", _statements(F.col("w"), F.col("m"), near).alias("s"), F.concat(_windows(F.col("w"), F.col("m")), _runs(F.col("w"), F.col("m"), vocabulary)).alias("v"))
+    # no other window reaches WHOLE: a cosine's square is at most the share of terms among the words, as no word weighs more than a rare one
+    full = F.filter(unit("v", True), lambda x: F.size(x["terms"]) >= WHOLE**2 * x["n"])
+    scanned = materialise(found.select("id", "path", "n", "terms", F.concat(unit("s", False), full).alias("units")), "words")
 
     n = scanned.count()
     counts = scanned.select(F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("term").count()
@@ -152,8 +232,8 @@ def license_scan(files: DataFrame, key: str = "doc_id") -> DataFrame:
     weights = _values(spark, [(k, name, t, idf[t], idf[t] / norms[k]) for k, name, terms in templates for t in terms], ["template", "license", "term", "idf", "weight"])
     own_weights = _values(spark, [(t, idf[t] ** 2) for t in vocabulary], ["term", "square"])
 
-    whole = scanned.where(F.size("terms") > 0).where(F.size(F.array_intersect("terms", marks)) > 1).select("id", F.lit(True).alias("whole"), "terms", "n")
-    units = whole.unionByName(scanned.select("id", F.explode_outer("units").alias("u")).where("u IS NOT NULL").select("id", F.lit(False).alias("whole"), "u.terms", "u.n"))
+    whole = scanned.where(F.size("terms") > 0).where(F.size(F.array_intersect("terms", marks)) > 1).select("id", F.lit(True).alias("whole"), F.lit(False).alias("window"), "terms", "n")
+    units = whole.unionByName(scanned.select("id", F.explode_outer("units").alias("u")).where("u IS NOT NULL").select("id", F.lit(False).alias("whole"), "u.window", "u.terms", "u.n"))
     kinds = materialise(units.groupBy("terms", "n").agg(F.max("whole").alias("any")).select("terms", "n", F.monotonically_increasing_id().alias("kind")), "kinds")
     each = kinds.select("kind", F.size("terms").alias("held"), "n", F.explode("terms").alias("term"))
     norm = each.join(F.broadcast(own_weights), "term").groupBy("kind").agg(F.sqrt(F.sum("square") + (F.max("n") - F.max("held")) * rare**2).alias("norm"))
@@ -161,7 +241,7 @@ def license_scan(files: DataFrame, key: str = "doc_id") -> DataFrame:
     cosine = dot.join(norm, "kind").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
     best = cosine.groupBy("kind").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b")).where(-F.col("b.neg") >= min(HEADER, WHOLE))
     scored = materialise(kinds.join(best, "kind").select("terms", "n", (-F.col("b.neg")).alias("score"), "b.license"), "scored")
-    given = units.join(scored, ["terms", "n"]).where(F.col("score") >= F.when(F.col("whole"), WHOLE).otherwise(HEADER))
+    given = units.join(scored, ["terms", "n"]).where(F.col("score") >= F.when(F.col("whole") | F.col("window"), WHOLE).otherwise(HEADER))
     own = given.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("neg"), "license")).alias("b"), F.max(F.when(F.col("whole"), F.col("score"))).alias("whole"))
     own = materialise(own.select("id", (-F.col("b.neg")).alias("score"), "b.license", "whole"), "own")
     directory = F.regexp_replace("path", r"/?[^/]*$", "")

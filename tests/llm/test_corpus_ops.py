@@ -325,6 +325,12 @@ def brute_licenses(texts):
                 while b < high and w[b] in near:
                     b += 1
                 options += [x for x in [best(w[a:b])] if x[0] >= L.HEADER]
+        for span in L.spans():
+            cut = [w[a : a + span] for a in range(0, len(w), span // 4)]
+            options += [x for x in [best(v) for v in cut if sum(x in L.MARKS for x in v) >= L.DENSE] if x[0] >= L.WHOLE]
+        ends = [-1, *[i for i, x in enumerate(w) if x not in vocabulary], len(w)]
+        runs = [w[a + 1 : b] for a, b in zip(ends, ends[1:]) if b - a > L.RUN]
+        options += [x for x in [best(v) for v in runs if sum(x in L.MARKS for x in v) >= L.DENSE] if x[0] >= L.WHOLE]
         found.append(min(((-s, name) for s, name in options), default=(0, None)))
     return [(name, -s) for s, name in found]
 
@@ -337,7 +343,7 @@ def test_license_scan_against_brute_force(spark):
     for k in range(150):
         t = [rng.choice(vocab) for _ in range(rng.randint(1, 60))]
         if k % 3:
-            x = rng.choice([*L.STATEMENTS, *L.TEXTS])[1].split()
+            x = rng.choice([*L.STATEMENTS, *L.TEXTS, *L.PASSAGES])[1].split()
             x = [w for w in x if rng.random() > 0.08]
             at = rng.randrange(len(t))
             t = x if k % 3 == 1 else [*t[:at], *x, *t[at:]]
@@ -352,10 +358,31 @@ def test_license_scan_against_brute_force(spark):
 
 
 def test_templates_hold_marks():
-    for _, text in [*license_scan.STATEMENTS, *license_scan.TEXTS]:
+    for _, text in [*license_scan.TEXTS, *license_scan.PASSAGES]:
+        assert sum(w in license_scan.MARKS for w in re.findall("[a-z0-9]+", text.lower())) >= license_scan.DENSE, text
+    for _, text in [*license_scan.STATEMENTS, *license_scan.TEXTS, *license_scan.PASSAGES]:
         assert len(set(re.findall("[a-z0-9]+", text.lower())) & set(license_scan.MARKS)) > 1, text
 
 
+def test_licenses_within_longer_files(spark):
+    """Texts and passages behind a comment sign before much code, and before more of a license, are found; code alone has none."""
+    rng = random.Random(5)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(400)]
+    code = "\n".join(f"def {rng.choice(names)}({rng.choice(names)}, n={k}):\n    return {rng.choice(names)} + {rng.choice(names)}" for k in range(60))
+    shown = [*license_scan.TEXTS, *license_scan.PASSAGES]
+    long_ = " ".join(rng.choice(names) for _ in range(3000))
+    texts = []
+    for name, text in shown:
+        lines = re.findall(r"(?s).{1,70}(?:\s|$)", text)
+        texts.append((name, "x.py", "# Copyright (c) 2020 Somebody\n" + "".join(f"# {x}\n" for x in lines) + code))
+        texts.append((name, "y.py", code + "\n/*\n" + "\n * ".join(lines) + "*/\n" + code))
+        texts.append((name, "LICENSE", text + " " + long_))
+    texts += [(None, "z.py", code), (None, "LICENSE", long_)]
+    df = spark.createDataFrame([(k, f"{k}/{file}", t) for k, (_, file, t) in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.license_scan(df).collect()}
+    assert {k: (got[k], t[:200]) for k, (name, _, t) in enumerate(texts) if got[k] != name} == {}
+
+
 def test_license_texts_are_license_files(spark):
     texts = dict(license_scan.TEXTS)
     rows = [(k, f"{k}/any.txt", f"Copyright (c) 2020 Somebody\n\n{text}") for k, text in enumerate(texts.values())] + [(50 + k, f"{k}/src/x.py", "print()") for k in range(len(texts))]
