@@ -9,8 +9,12 @@ whole contents, so two contents never share one.
 Block contents are brought together by a 128-bit hash but always told apart by their bytes: should two
 contents share a hash, the occurrences of that hash are named by a join on the bytes themselves.
 
+Rows are told apart by doc_id and the digest of their text, so rows that repeat a doc_id with different texts are
+named each by its own text.
+
 Edge cases: null text counts as empty; empty texts (also those of white space alone) are equal to each
-other; extra columns are ignored; an empty table gives an empty result.
+other; a row that repeats another counts in its group, and all rows that carry the group's keep_id stay; a null
+doc_id is the smallest; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,13 +47,18 @@ def _ranked(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
     return ranked
 
 
+def _row_key(digest: Column) -> Column:
+    """What tells rows apart: doc_id, which may be null, and the text's digest."""
+    return F.named_struct(F.lit("doc_id"), "doc_id", F.lit("digest"), F.unhex(digest))
+
+
 def block_names(docs: DataFrame, block_chars: int = BLOCK_CHARS, hash_bits: int = 64) -> DataFrame:
-    """(doc_id, rounds, name): the identity of every text. ``hash_bits`` is lowered by tests to force hash clashes."""
+    """(row, rounds, name): the identity of every text, for each different (doc_id, digest). ``hash_bits`` is lowered by tests to force hash clashes."""
     mask = F.lit((1 << hash_bits) - 1 if hash_bits < 63 else -1).cast("long")
     cut = F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0)))
     blocks = (
         docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-        .select("doc_id", F.posexplode(cut).alias("pos", "block"))
+        .select(_row_key(F.sha2("norm", 256)).alias("row"), F.posexplode(cut).alias("pos", "block"))
         .withColumn("h1", F.xxhash64("block").bitwiseAND(mask))
         .withColumn("h2", F.xxhash64(F.lit(7), F.col("block")).bitwiseAND(mask))
     )
@@ -59,41 +68,40 @@ def block_names(docs: DataFrame, block_chars: int = BLOCK_CHARS, hash_bits: int
     several = hashes.where("n_blocks > 1").select("h1", "h2")
     by_bytes = contents.join(several, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.array_sort(F.collect_list("block")).alias("blocks"))  # contents of one 128-bit hash
     clashes = materialise(by_bytes.select("h1", "h2", F.posexplode("blocks").alias("k", "block")), "clashes")
-    told_apart = hashes.where("n_blocks = 1").select("h1", "h2", F.lit(0).alias("k")).unionByName(clashes.select("h1", "h2", "k"))
+    told_apart = hashes.where("n_blocks = 1").select("h1", "h2", F.lit(-1).alias("k")).unionByName(clashes.select("h1", "h2", "k"))
     names = _ranked(told_apart, ["h1", "h2", "k"], "blocks")
-    at = blocks.select("doc_id", "pos", "h1", "h2")
-    single = names.join(hashes.where("n_blocks = 1").select("h1", "h2"), ["h1", "h2"], "left_semi")
-    level = at.join(single.select("h1", "h2", "name"), ["h1", "h2"]).select("doc_id", "pos", "name")
+    # a scan on either side, so that adaptive execution can split a block that many texts share
+    level = blocks.select("row", "pos", "h1", "h2").join(names.where("k = -1").select("h1", "h2", "name"), ["h1", "h2"]).select("row", "pos", "name")
     if clashes.head(1):
-        level = level.unionByName(blocks.join(clashes, ["h1", "h2", "block"]).join(names, ["h1", "h2", "k"]).select("doc_id", "pos", "name"))
+        level = level.unionByName(blocks.join(clashes, ["h1", "h2", "block"]).join(names, ["h1", "h2", "k"]).select("row", "pos", "name"))
     level = materialise(level, "level")
     discard(contents, hashes, clashes, names)
     return _paired(level)
 
 
 def _paired(level: DataFrame) -> DataFrame:
-    """Names adjacent pairs until each document has one name."""
+    """Names adjacent pairs until each row has one name."""
     done: DataFrame | None = None
     rounds = 0
     while True:
-        single = level.groupBy("doc_id").agg(F.max("pos").alias("last"), F.min("name").alias("name"))
-        ended = single.where("last = 0").select("doc_id", F.lit(rounds).alias("rounds"), "name")
+        single = level.groupBy("row").agg(F.max("pos").alias("last"), F.min("name").alias("name"))
+        ended = single.where("last = 0").select("row", F.lit(rounds).alias("rounds"), "name")
         done = ended if done is None else done.unionByName(ended)
-        open_docs = single.where("last > 0").select("doc_id")
+        open_docs = single.where("last > 0").select("row")
         if not open_docs.head(1):
             return done
         pairs = (
-            level.join(open_docs, "doc_id", "left_semi")
-            .groupBy("doc_id", F.floor(F.col("pos") / 2).cast("int").alias("pair"))
+            level.join(open_docs, "row", "left_semi")
+            .groupBy("row", F.floor(F.col("pos") / 2).cast("int").alias("pair"))
             .agg(
                 F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"),
                 F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
             )
-            .select("doc_id", F.col("pair").alias("pos"), "left", "right")
+            .select("row", F.col("pair").alias("pos"), "left", "right")
         )
         pairs = materialise(pairs, "pairs")
         names = _ranked(pairs.select("left", "right").distinct(), ["left", "right"], "pairnames")
-        named = materialise(pairs.join(names, ["left", "right"]).select("doc_id", "pos", "name"), "level")
+        named = materialise(pairs.join(names, ["left", "right"]).select("row", "pos", "name"), "level")
         discard(pairs, names)
         level = named
         rounds += 1
@@ -102,15 +110,17 @@ def _paired(level: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, hash_bits: int = 64) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per document, equal texts in one group.
 
-    Of a group the longest original text stays, then the smallest doc_id.
+    Of a group the longest original text stays, then the smallest doc_id. A repeated doc_id has a row for each of its rows.
     """
     facts = docs.select("doc_id", F.length(F.coalesce(F.col("text"), F.lit(""))).alias("chars"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    named = materialise(block_names(docs, block_chars, hash_bits).join(facts, "doc_id"), "named")
+    names = block_names(docs, block_chars, hash_bits).select("row.digest", F.col("row.doc_id").alias("id"), "rounds", "name")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.unhex("text_sha256") == F.col("digest"))
+    named = materialise(facts.join(names, same).drop("id", "digest"), "named")
     groups = materialise(
         named.groupBy("rounds", "name").agg(F.count("*").alias("group_size"), F.min(F.struct(-F.col("chars"), F.col("doc_id"))).getField("doc_id").alias("keep_id")),
         "groups",
     )
-    return named.join(groups, ["rounds", "name"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return named.join(groups, ["rounds", "name"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,28 @@ def test_exact_dedup(spark, corpus):
         assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
 
 
+def test_exact_dedup_of_repeated_ids(spark):
+    docs = [(1, "aa"), (1, "bb"), (2, "bb"), (3, "c" * 5000), (3, "c" * 5000), (3, "c" * 4999 + "d"), (4, "c " * 5000), (None, "b b"), (5, None), (5, "")]
+    got = exact_dedup(frame(spark, docs)).collect()
+    seen = sorted((r["doc_id"] or 0, r["text_sha256"][:4], r["keep_id"], r["group_size"], r["kept"]) for r in got)
+    digest = {x: hashlib.sha256(x.encode()).hexdigest()[:4] for x in ("aa", "bb", "c" * 5000, "c" * 4999 + "d", "")}
+    want = [(1, "aa", 1, 1, True), (1, "bb", None, 3, False), (2, "bb", None, 3, False), (0, "bb", None, 3, True), (4, "c" * 5000, 4, 3, True), (3, "c" * 4999 + "d", 3, 1, True)]
+    want += [(3, "c" * 5000, 4, 3, False)] * 2 + [(5, "", 5, 2, True)] * 2
+    assert seen == sorted((i, digest[x], keep, size, kept) for i, x, keep, size, kept in want)
+
+
+@pytest.mark.parametrize("block_chars", [64])
+def test_exact_dedup_of_a_block_in_a_third_of_the_rows(spark, block_chars):
+    docs = [(k, ("same" * 16 + f"tail{k % 7}" if k % 3 == 0 else f"own text {k // 2}")) for k in range(600)]
+    norm = {k: t.replace(" ", "") for k, t in docs}
+    first = {}
+    for k, _ in docs:
+        first.setdefault(norm[k], k)
+    sizes = {x: sum(v == x for v in norm.values()) for x in first}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup(frame(spark, docs), block_chars).collect()}
+    assert got == {k: (first[norm[k]], sizes[norm[k]]) for k, _ in docs}
+
+
 def test_exact_dedup_empty(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
