@@ -7,7 +7,8 @@ hashed once, buckets are summed over the dictionary, and each string gets its bu
 back by a join of blocks' features with the dictionary, a row for each block that holds a string instead of one for
 each document, and meet the documents' counts block by block. Ranks come from one sort in ranges.
 
-A block is the words of about BLOCK bytes of text, or one longer document. A very common word has a row for each
+A block is the words of about BLOCK bytes of text, or one longer document; it is stored in rows of a document or of
+CHUNK features, as readers and writers hold many rows at once. A very common word has a row for each
 block; both sides of its join are plain exchanges of tables, so such a key can be split.
 
 Edge cases: null text has no words; a document without features has weight 0. A repeated doc_id is drawn as often
@@ -24,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from .common import discard, materialise, numbered, table, text_slices
 
 #: Bytes of text whose words form one block
 BLOCK = 4_000_000
+#: Features of a block that are one row
+CHUNK = 1024
 #: Bytes other than those of words go, A-Z become lower case
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -45,14 +49,19 @@ def features(text: bytes | None, longest: int) -> tuple[int, list[bytes]]:
 
 
 def _blocks(docs: DataFrame, longest: int) -> DataFrame:
-    """One row for each block: its documents, its distinct features and their counts, and each document's part in them."""
+    """Blocks in rows of their documents, each with its part in the block's features, and rows of up to CHUNK of these and their counts.
+
+    A feature's number is ``first`` and its place in the row's list. No row is longer than one document or CHUNK
+    features, however many blocks a task makes, so writers and readers of whole batches of rows hold a few MB.
+    """
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"docs array<{doc_id}>, words array<long>, sizes array<int>, feature array<string>, count array<long>, which array<int>, times array<int>"
+    schema = f"block long, doc_id {doc_id}, n_words long, which array<int>, times array<int>, first int, feature array<string>, count array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, limit=BLOCK):
+        task, names = TaskContext.get().partitionId() << 33, ["block", "doc_id", "n_words", "which", "times", "first", "feature", "count"]
+        for block, batch in enumerate(text_slices(batches, limit=BLOCK)):
             number: dict[bytes, int] = {}
-            words, sizes, which, times = [], [], [], []
+            words, sizes, which, times = [], [0], [], []
             for text in batch.column("text").to_pylist():
                 n, runs = features(text, longest)
                 held = Counter(runs)
@@ -62,9 +71,15 @@ def _blocks(docs: DataFrame, longest: int) -> DataFrame:
                 sizes.append(len(held))
             which, times = np.fromiter(chain.from_iterable(which), np.int32), np.fromiter(chain.from_iterable(times), np.int32)
             total = np.bincount(which, weights=times, minlength=len(number)).astype(np.int64)
-            names = pa.array([f.decode("utf-8", "replace") for f in number], pa.string())
-            lists = [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(sizes, pa.int32()), names, pa.array(total), pa.array(which), pa.array(times)]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=["docs", "words", "sizes", "feature", "count", "which", "times"])
+            listed, ends, n = pa.array([f.decode("utf-8", "replace") for f in number], pa.string()), pa.array(np.cumsum(sizes), pa.int32()), batch.num_rows
+            parts = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (which, times)]
+            none = [pa.nulls(n, kind) for kind in (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task + block)), batch.column("doc_id"), pa.array(words, pa.int64()), *parts, *none], names=names)
+            first = np.arange(0, len(number), CHUNK, dtype=np.int32)
+            ends, n = pa.array([*first, len(number)], pa.int32()), len(first)
+            none = [pa.nulls(n, kind) for kind in (batch.column("doc_id").type, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (listed, pa.array(total))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task + block)), *none, pa.array(first), *lists], names=names)
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -83,8 +98,9 @@ def importance_resampling(docs: DataFrame, target: DataFrame, longest: int = 1,
     chances by weight. Of the documents with ``least_words`` words, ``percent`` of a hundred are drawn (rounded down).
     """
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    blocks = materialise(_blocks(docs, longest).withColumn("block", F.monotonically_increasing_id()), "blocks", "zstd")
-    held = blocks.select("block", F.posexplode(F.arrays_zip("feature", "count")).alias("k", "x")).select("block", "k", F.col("x.feature").alias("feature"), F.col("x.count").alias("count"))
+    blocks = materialise(_blocks(docs, longest), "blocks", "zstd")
+    listed = blocks.where("feature IS NOT NULL").select("block", "first", F.posexplode(F.arrays_zip("feature", "count")).alias("at", "x"))
+    held = listed.select("block", (F.col("first") + F.col("at")).alias("k"), F.col("x.feature").alias("feature"), F.col("x.count").alias("count"))
     wanted = _blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), longest).select(F.inline(F.arrays_zip("feature", "count")))
     counts = (
         held.select("feature", F.col("count").alias("s"), F.lit(0).cast("long").alias("t"))
@@ -104,18 +120,18 @@ def importance_resampling(docs: DataFrame, target: DataFrame, longest: int = 1,
 
     def weigh(block: pa.Table, gain: pa.Table) -> pa.Table:
         """One block's documents: the sums of their features' gains."""
-        row = block.slice(0, 1)
-        values = {c: row.column(c).combine_chunks().flatten() for c in ("docs", "words", "sizes", "which", "times")}
+        part = block.column("which").combine_chunks()
+        which, times = (block.column(c).combine_chunks().flatten().to_numpy() for c in ("which", "times"))
         k, gains = (gain.column(c).combine_chunks().flatten().to_numpy() for c in ("k", "gain"))
         by_feature = np.zeros(len(k), np.int64)
         by_feature[k] = gains
-        sizes, times = values["sizes"].to_numpy().astype(np.int64), values["times"].to_numpy().astype(np.int64)
-        sums = _sums(by_feature[values["which"].to_numpy()] * times, sizes)
-        n = _sums(times, sizes)
+        sizes = part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = _sums(by_feature[which] * times, sizes)
+        n = _sums(times.astype(np.int64), sizes)
         weight = np.where(n > 0, sums // np.maximum(n, 1), 0)  # floors downwards
-        return pa.table({"doc_id": values["docs"], "n_words": values["words"], "n_features": n, "weight": weight})
+        return pa.table({"doc_id": block.column("doc_id"), "n_words": block.column("n_words"), "n_features": n, "weight": weight})
 
-    packs = blocks.select("block", "docs", "words", "sizes", "which", "times")
+    packs = blocks.where("which IS NOT NULL").select("block", "doc_id", "n_words", "which", "times")
     weighed = packs.groupBy("block").cogroup(back.groupBy("of_block")).applyInArrow(weigh, f"doc_id {doc_id}, n_words long, n_features long, weight long")
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(F.lit(-1000.0) * F.ln(-F.ln((h.cast("double") + 0.5) / 4294967296.0)))

@@ -118,6 +118,20 @@ def test_resampling_equals_brute_force(spark, longest, monkeypatch):
     assert sum(r[5] is not None for r in got) > 50
 
 
+def test_resampling_stores_blocks_in_short_rows(spark, monkeypatch):
+    """Readers and writers hold thousands of rows at once: none is longer than a document or a chunk of features."""
+    monkeypatch.setattr(resampling, "CHUNK", 16)
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(i % 40))) for i in range(100)] + [(100, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows = resampling._blocks(frame, 1).collect()
+    assert max(len(r["feature"] or []) for r in rows) == 16 and len({r["block"] for r in rows}) == 1
+    assert sorted(r["doc_id"] for r in rows if r["which"] is not None) == list(range(101))
+    assert max(len(r["which"] or []) for r in rows) == 39
+    target = ["w7x1 w7x2 w9x3"]
+    out = resampling.importance_resampling(frame, spark.createDataFrame([(t,) for t in target], "text string"))
+    assert sorted(tuple(r)[:5] for r in out.collect()) == sorted(tuple(r)[:5] for r in brute_resampling(docs, target, 1))
+
+
 def test_resampling_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
