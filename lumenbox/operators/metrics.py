@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import parsing
 from .selection import at_share, beside, lower_middle, select_ranks, upper_middle, value_counts
 
 THRESHOLDS = (0.0, 0.5, 0.75, 0.9)
@@ -159,14 +160,42 @@ def confidence_analysis(trials: DataFrame, *keys: str, thresholds: tuple[float,
 
 
 def ocr_score(pred: Column, true: Column) -> Column:
-    """struct<recall, found, expected, read, spurious> of two arrays of normalised lines: a set read, a bag expected."""
-    got, want = F.array_distinct(F.filter(pred, lambda x: x != "")), F.filter(true, lambda x: x != "")
-    found = F.size(F.filter(want, lambda w: F.exists(got, lambda x: (x == w) | ((F.length(w) > 3) & F.contains(x, w)))))
-    return F.struct(
-        F.coalesce(F.bround(F.try_divide(found, F.size(want)), 4), F.lit(0.0)).alias("recall"),
-        found.alias("found"), F.size(want).alias("expected"), F.size(got).alias("read"),
-        F.greatest(F.lit(0), F.size(got) - found).alias("spurious"),
-    )
+    """struct<recall, found, expected, read, spurious> of two arrays of normalised lines: a set read, a bag expected.
+
+    Each side is computed once. Sets tell which lines are read as they are; only distinct lines that are not are looked for
+    within others, in the one text of all that is read (a separator is in no normalised line, and lines that hold it are
+    looked for one by one). Lines that are lost are counted in one pass over the sorted lines.
+    """
+    got, want = (F.filter(x, lambda line: line != "") for x in (F.array_distinct(pred), true))
+
+    def lost(read: Column, expected: Column) -> Column:
+        missing = F.array_except(expected, read)
+
+        def within(all_read: Column) -> Column:
+            held = lambda w: F.when(F.contains(w, F.lit("\n")), F.exists(read, lambda x: F.contains(x, w))).otherwise(F.contains(all_read, w))
+            return F.filter(missing, lambda w: (F.length(w) <= 3) | ~held(w))
+
+        return parsing.let(F.array_join(read, "\n"), within)
+
+    def counted(expected: Column, gone: Column) -> Column:
+        """How many entries of a bag are in a set: each entry of the set stands before those of the bag that equal it."""
+        both = F.array_sort(F.concat(F.transform(gone, lambda w: F.struct(w.alias("w"), F.lit(0).alias("k"))), F.transform(expected, lambda w: F.struct(w.alias("w"), F.lit(1).alias("k")))))
+        start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"))
+        step = lambda s, x: F.struct(F.when(x["k"] == 0, x["w"]).otherwise(s["w"]).alias("w"), (s["n"] + ((x["k"] == 1) & x["w"].eqNullSafe(s["w"])).cast("int")).alias("n"))
+        return F.when(F.size(gone) == 0, 0).otherwise(F.aggregate(both, start, step, lambda s: s["n"]))
+
+    def score(read: Column, expected: Column, n_lost: Column) -> Column:
+        found = F.size(expected) - n_lost
+        return F.struct(
+            F.coalesce(F.bround(F.try_divide(found, F.size(expected)), 4), F.lit(0.0)).alias("recall"),
+            found.alias("found"), F.size(expected).alias("expected"), F.size(read).alias("read"),
+            F.greatest(F.lit(0), F.size(read) - found).alias("spurious"),
+        )
+
+    return parsing.let(
+        F.struct(got.alias("read"), want.alias("expected")),
+        lambda s: parsing.let(lost(F.coalesce(s["read"], F.array().cast("array<string>")), s["expected"]), lambda gone: parsing.let(counted(s["expected"], gone), lambda n: score(s["read"], s["expected"], n))),
+    )
 
 
 def call_stats(calls: DataFrame, *keys: str) -> DataFrame:

@@ -332,7 +332,7 @@ def j02_absent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j03_ocr_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of a text expected against those read from the tenth on, with equality or containment."""
     words = F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), text.normalise_ocr)
-    score = metrics.ocr_score(F.slice(words, F.lit(10), F.greatest(F.lit(0), F.size(words) - 9)), words)
+    score = parsing.let(words, lambda w: metrics.ocr_score(F.slice(w, F.lit(10), F.greatest(F.lit(0), F.size(w) - 9)), w))
     return a.table(spark, sf_dir, "conversations").withColumn("s", score).select("conv_id", "turn", "s.found", "s.expected", "s.read", "s.recall", "s.spurious")
 
 

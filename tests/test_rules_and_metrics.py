@@ -3,6 +3,7 @@
 import json
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,24 @@ def test_published_means(spark):
     assert out["coarse"]["iou_at_50"] == pytest.approx(0.6667) and out["refine"]["iou_at_75"] == 1.0
 
 
+def test_ocr_score_of_bags_and_long_texts(spark):
+    rng, alphabet = random.Random(3), ["", "a", "ab", "abc", "abcd", "bcde", "xabcdx", "bcd", "bcdef", "é" * 5, "a\nbcd", "zzzz"]
+    rows = [([rng.choice(alphabet) for _ in range(rng.randint(0, 6))], [rng.choice(alphabet) for _ in range(rng.randint(0, 9))]) for _ in range(60)]
+    # every entry compared with every other, each side computed anew for it, would not end in time
+    long = [f"word{k}" for k in range(20_000)]
+    rows += [(long[9:], long + long[:5] + long[-5:]), (None, ["abcd"])]
+    out = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, p array<string>, t array<string>").select("k", metrics.ocr_score(F.col("p"), F.col("t")).alias("s"))
+    begun = time.monotonic()
+    got = {r["k"]: (r["s"]["found"], r["s"]["expected"], r["s"]["read"], r["s"]["spurious"]) for r in out.collect()}
+    assert time.monotonic() - begun < 60
+    for k, (p, t) in enumerate(rows[:-2]):
+        read, want = set(p) - {""}, [w for w in t if w]
+        found = sum(any(x == w or len(w) > 3 and w in x for x in read) for w in want)
+        assert got[k] == (found, len(want), len(read), max(0, len(read) - found))
+    # word0 to word8 are within word10 and so on, but word0 is not: no number begins with 0
+    assert got[60] == (20_010 - 2, 20_010, 19_991, 17 - 17) and got[61] == (0, 1, None, 0)
+
+
 def test_ocr_score(spark):
     s = value(spark, metrics.ocr_score(F.array(F.lit("hello"), F.lit("worldwide")), F.array(F.lit("hello"), F.lit("world"), F.lit("none"))))
     assert (s["recall"], s["found"], s["spurious"]) == (0.6667, 2, 0)
