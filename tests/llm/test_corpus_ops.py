@@ -468,3 +468,20 @@ def test_bitmap(spark, n):
     a = np.array([r["a"] for r in spark.range(2 * n + 100).selectExpr("xxhash64(id) AS a").collect()])
     found = may_hold(bits, a)
     assert found[:n].all() and found[n:].sum() <= 0.05 * len(found[n:])
+
+
+def test_substring_dedup_of_passages_known_in_parts(spark):
+    """Each part of a passage is first seen in a document of its own; a later whole copy repeats the earlier one all the same."""
+    rng = random.Random(11)
+
+    def noise(n):
+        return [f"n{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage = [f"p{k}" for k in range(64)]
+    parts = [noise(30) + passage[k : k + 12] + noise(30) for k in range(0, 60, 6)]
+    cycle = noise(7) * 12  # equal to itself seven words on
+    docs = [*parts, noise(40) + passage + noise(40), noise(20) + passage + noise(60), noise(80), noise(10) + cycle, noise(5) + passage[:50]]
+    got = {r["doc_id"]: r for r in substring_dedup(frame(spark, [(k, " ".join(x)) for k, x in enumerate(docs)])).collect()}
+    assert [got[k]["n_repeated"] for k in range(11)] == [0] * 11 and got[12]["n_repeated"] == 0
+    assert [tuple(s) for s in got[11]["spans"]] == [(20, 84)] and 10 in got[11]["partners"]
+    assert got[13]["n_repeated"] == 84 - 7 and got[14]["n_repeated"] == 0
