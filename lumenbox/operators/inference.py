@@ -117,8 +117,18 @@ def base_view(screens: DataFrame, factor: int = 28, least: int = 256 * 28 * 28,
 
 def boxes_on(answers: DataFrame) -> DataFrame:
     """Parsed boxes of answers over their view: rows (..., pos, item, view_box, box)."""
-    seen = answers.withColumn("items", parsing.parse_boxes("answer")).select("*", F.col("view.w").alias("view_w"), F.col("view.h").alias("view_h"), F.col("view.tf").alias("view_tf"))
-    return rules.on_view(seen, "view_w", "view_h", "view_tf", "mode").drop("view_w", "view_h", "view_tf")
+    seen = told_items(answers).select("*", F.col("view.w").alias("view_w"), F.col("view.h").alias("view_h"), F.col("view.tf").alias("view_tf"))
+    return rules.placed_on_view(seen, "view_w", "view_h", "view_tf", "mode").drop("view_w", "view_h", "view_tf")
+
+
+def told_items(answers: DataFrame) -> DataFrame:
+    """``answers`` with pos and item, a row for each box.
+
+    What is parsed is a column for each step, so that it is computed once. The array of boxes is no column of its own: a
+    filter by its size, which the optimizer infers for a column that is exploded, would parse each answer twice.
+    """
+    found = parsing.with_value(answers, "answer", "_value")
+    return found.select(*[F.col(c) for c in answers.columns], F.posexplode(parsing.boxes_of("_value", "answer")).alias("pos", "item"))
 
 
 #: A hit's trace: what each stage did, in order
@@ -177,21 +187,21 @@ def ground(requests: DataFrame, backend: Backend, save: Callable[[DataFrame], Da
 def ground_all(answers: DataFrame, max_items: int = 20, key: str = "screen_id") -> DataFrame:
     """Every box of an answer, cut to ``max_items`` in the model's order, then in reading order; ``key`` tells answers apart."""
     some = boxes_on(answers).where(F.col("pos") < max_items).withColumn("ord", F.col("pos").cast("long"))
-    placed = layout.reading_order(some.select(key, "ord", "box"), screen=key)
-    return some.join(placed, [key, "ord"])
+    return layout.reading_order(some, screen=key, carry=[c for c in some.columns if c not in (key, "ord")])
 
 
 def ocr(answers: DataFrame, min_chars: int = 1) -> DataFrame:
     """(screen_id, position, box, text): lines of answers, cleaned, de-duplicated, in reading order."""
     lines = boxes_on(answers).select("screen_id", F.col("pos").cast("long").alias("ord"), "box", text.clean_line(F.col("item.text"), F.col("item.label")).alias("text"))
     kept = layout.dedupe_text(lines.where(F.length("text") >= min_chars))
-    placed = layout.reading_order(kept.select("screen_id", "ord", "box"))
-    return kept.join(placed, ["screen_id", "ord"]).select("screen_id", "position", g.rounded(F.col("box")).alias("box"), "text")
+    placed = layout.reading_order(kept, carry=["box", "text"])
+    return placed.select("screen_id", "position", g.rounded(F.col("box")).alias("box"), "text")
 
 
 def guide(answers: DataFrame, max_steps: int = 6) -> DataFrame:
     """(screen_id, n, instruction, target): steps numbered from 1."""
-    steps = answers.select("screen_id", F.posexplode(parsing.parse_steps("answer")).alias("pos", "step"))
+    told = parsing.with_value(answers.select("screen_id", "answer"), "answer", "_value")
+    steps = told.select("screen_id", F.posexplode(parsing.steps_of("_value", "answer")).alias("pos", "step"))
     return steps.where(F.col("pos") < max_steps).select("screen_id", (F.col("pos") + 1).alias("n"), "step.instruction", "step.target")
 
 
@@ -202,7 +212,7 @@ def guide_counts(steps: DataFrame) -> DataFrame:
 
 def diff(answers: DataFrame, gap: int = 16) -> DataFrame:
     """Changes between two pictures side by side: (screen_id, pos, side, box, canvas_box, description)."""
-    seen = answers.withColumn("items", parsing.parse_boxes("answer")).select("*", F.posexplode("items").alias("pos", "item"))
+    seen = told_items(answers)
     pixels = g.clamp_box(g.model_to_pixels(F.col("item.box"), F.col("view.w"), F.col("view.h"), F.col("mode")), F.col("view.w"), F.col("view.h"))
     canvas = seen.withColumn("canvas_box", g.to_original(F.col("view.tf"), pixels))
     side = rules.diff_side(F.col("canvas_box"), F.col("before_w") + gap, F.col("after_w"), F.col("after_h"))

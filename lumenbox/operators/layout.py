@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,8 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import geometry as g
 
 
-def reading_order(items: DataFrame, screen: str = "screen_id", order: str = "ord", box: str = "box") -> DataFrame:
-    """(screen, order, row, position): rows top down, then left to right.
+def reading_order(items: DataFrame, screen: str = "screen_id", order: str = "ord", box: str = "box", carry: Sequence[str] = ()) -> DataFrame:
+    """(screen, order, row, position, and the columns in ``carry``): rows top down, then left to right.
 
     Items sorted by vertical centre join the last row while their centre lies within half the upper-median
     height of the row's first item; rows are sorted by left edge. Both sorts are stable in ``order``. The
@@ -18,7 +20,14 @@ def reading_order(items: DataFrame, screen: str = "screen_id", order: str = "ord
     """
     b = F.col(box)
     each = F.struct(((b["y1"] + b["y2"]) / 2).alias("cy"), F.col(order).cast("long").alias("k"), b["x1"].alias("x1"), F.greatest(F.lit(1.0), b["y2"] - b["y1"]).alias("high"))
-    screens = items.groupBy(screen).agg(F.sort_array(F.collect_list(each)).alias("items"))
+    # what is carried need not have an order: items are sorted with their place in the list alone
+    lists = items.groupBy(screen).agg(F.collect_list(F.struct(each.alias("by"), F.struct(*carry).alias("with")) if carry else each).alias("listed"))
+    if carry:
+        by = F.transform("listed", lambda x, i: F.struct(*[x["by"][c].alias(c) for c in ("cy", "k", "x1", "high")], i.alias("at")))
+        screens = lists.select(screen, F.sort_array(by).alias("items"), F.transform("listed", lambda x: x["with"]).alias("with"))
+    else:
+        screens = lists.select(screen, F.sort_array("listed").alias("items"))
+    at = ["at"] if carry else []
     heights = F.array_sort(F.transform("items", lambda i: i["high"]))
     tolerance = F.element_at(heights, (F.floor(F.size("items") / 2) + 1).cast("int")) * 0.5
     # the fold keeps the place and centre of each row's first item alone
@@ -33,13 +42,14 @@ def reading_order(items: DataFrame, screen: str = "screen_id", order: str = "ord
 
     folded = screens.withColumn("tolerance", tolerance).withColumn("starts", F.aggregate("items", start, place, lambda s: s["starts"]))
 
-    def row(at: Column, r: Column) -> Column:
+    def row(start: Column, r: Column) -> Column:
         end = F.coalesce(F.get("starts", r + 1), F.size("items"))
-        across = F.array_sort(F.transform(F.slice("items", at + 1, end - at), lambda i: F.struct(i["x1"].alias("x1"), i["cy"].alias("cy"), i["k"].alias("k"))))
-        return F.transform(across, lambda i: F.struct(r.alias("row"), i["k"].alias("k")))
+        across = F.array_sort(F.transform(F.slice("items", start + 1, end - start), lambda i: F.struct(*[i[c].alias(c) for c in ("x1", "cy", "k", *at)])))
+        held = {"with": lambda i: F.get("with", i["at"])} if carry else {}
+        return F.transform(across, lambda i: F.struct(r.alias("row"), i["k"].alias("k"), *[f(i).alias(c) for c, f in held.items()]))
 
     placed = folded.select(screen, F.posexplode(F.flatten(F.transform("starts", row))).alias("position", "i"))
-    return placed.select(screen, F.col("i.k").alias(order), F.col("i.row").alias("row"), "position")
+    return placed.select(screen, F.col("i.k").alias(order), F.col("i.row").alias("row"), "position", *[F.col("i.with")[c].alias(c) for c in carry])
 
 
 #: Sides of a grid's cells, as multiples of the mean sides of a screen's boxes

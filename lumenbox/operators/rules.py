@@ -40,7 +40,13 @@ def refine_accepts(candidate: Column, region: Column, containment: float = 0.55)
 
 def on_view(items: DataFrame, w: str = "w", h: str = "h", tf: str = "tf", mode: str = "mode") -> DataFrame:
     """Parsed ``items`` exploded, in pixels of the view, clamped; empty ones dropped unless points; box in original space."""
-    rows = items.select("*", F.posexplode("items").alias("pos", "item")).drop("items")
+    # the optimizer filters by the size of a column that is exploded, which would parse each answer twice: so no column alone
+    told = F.coalesce(F.col("items"), F.array().cast(items.schema["items"].dataType))
+    return placed_on_view(items.select("*", F.posexplode(told).alias("pos", "item")).drop("items"), w, h, tf, mode)
+
+
+def placed_on_view(rows: DataFrame, w: str = "w", h: str = "h", tf: str = "tf", mode: str = "mode") -> DataFrame:
+    """on_view() of rows with an ``item`` each."""
     # corners in pixels are columns of their own, so that generated code stays small enough to be compiled
     pixels = g.model_to_pixels(F.col("item.box"), F.col(w), F.col(h), F.col(mode))
     rows = rows.withColumns({f"_{k}": F.least(F.greatest(pixels[k], F.lit(0.0)), F.col(h if k[0] == "y" else w).cast("double")) for k in ("x1", "y1", "x2", "y2")})

@@ -148,7 +148,7 @@ def read_tiles(answers: DataFrame, min_chars: int = 1) -> DataFrame:
     queue = lines.groupBy("screen_id").agg(F.sort_array(F.collect_list(F.struct("place", "box", "text"))).alias("q"))  # the lines of one screen
     numbered = queue.select("screen_id", F.posexplode("q").alias("ord", "x")).select("screen_id", F.col("ord").cast("long").alias("ord"), "x.box", "x.text")
     kept = layout.dedupe_text(numbered)
-    return kept.join(layout.reading_order(kept.select("screen_id", "ord", "box")), ["screen_id", "ord"]).select("screen_id", "position", g.rounded(F.col("box")).alias("box"), "text")
+    return layout.reading_order(kept, carry=["box", "text"]).select("screen_id", "position", g.rounded(F.col("box")).alias("box"), "text")
 
 
 def bench(targets: DataFrame, backend: inference.Backend, save: Save, config: rules.GroundConfig = rules.GroundConfig()) -> DataFrame:

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenbox import cli
-from lumenbox.functions import pictures
-from lumenbox.operators import inference, report, tasks
+from lumenbox.functions import geometry as g
+from lumenbox.functions import parsing, pictures
+from lumenbox.operators import inference, report, rules, tasks
 from lumenbox.sources import checkpoints
 
 REQUEST = "screen_id long, w int, h int, target string, mode string"
@@ -182,3 +183,15 @@ def test_headers_of_a_large_file_are_all_that_is_read(spark, tmp_path, monkeypat
     assert [r["config"] for r in checkpoints.local_configs(spark, str(tmp_path)).collect()] == ["{}"]
     (tmp_path / "none").mkdir()
     assert checkpoints.local_headers(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_answers_are_parsed_once(spark):
+    """A filter inferred for an exploded column, or a join of a frame with itself, would read each answer again."""
+    answer = '[{"bbox_2d": [1, 2, 30, 40], "label": "a"}, {"bbox_2d": [50, 2, 90, 40], "label": "b"}]'
+    view = F.struct(F.lit(180).alias("w"), F.lit(160).alias("h"), g.make_transform(0, 0, 1, 1).alias("tf"))
+    told = spark.range(3).select(F.col("id").alias("screen_id"), F.lit(answer).alias("answer"), view.alias("view"), F.lit("abs").alias("mode"), F.lit(80).alias("before_w"), F.lit(80).alias("after_w"), F.lit(160).alias("after_h"))
+    told = spark.createDataFrame(told.collect(), told.schema)
+    items = told.withColumn("items", parsing.parse_boxes("answer")).select("*", "view.*")
+    for out in (inference.boxes_on(told), rules.on_view(items), inference.ground_all(told), inference.ocr(told), inference.diff(told)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert out.count() == 6
