@@ -91,7 +91,7 @@ def dedupe_text(lines: DataFrame, screen: str = "screen_id", order: str = "ord",
     text has no length and comes last; a line without a box meets none and is kept.
     """
     length = F.coalesce(F.length(text), F.lit(0))
-    placed = in_cells(lines.withColumn("_row", F.struct(*lines.columns)), screen, box).withColumn("_rank", -length)
+    placed = in_cells(lines, screen, box).withColumn("_rank", -length)
     before = Window.partitionBy(screen, "_cell").orderBy("_rank", order).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.collect_list(F.struct(F.col(order).alias("k"), F.col(box).alias("box"), F.col(text).alias("text"))).over(before)
 
@@ -102,7 +102,7 @@ def dedupe_text(lines: DataFrame, screen: str = "screen_id", order: str = "ord",
 
     met = placed.withColumn("_before", F.transform(F.filter(ahead, clash), lambda o: o["k"]))
     conflict = F.when(F.size("_before") > 0, F.struct(F.col("_rank").alias("rank"), F.col(order).alias("k"), F.col("_before").alias("before")))
-    screens = met.groupBy(screen).agg(F.sort_array(F.collect_list(conflict)).alias("queue"), F.collect_list(F.when(F.col("_home"), F.col("_row"))).alias("rows"))
+    screens = met.groupBy(screen).agg(F.sort_array(F.collect_list(conflict)).alias("queue"), F.collect_list(F.when(F.col("_home"), F.struct(*lines.columns))).alias("rows"))
     # a line without a conflict ahead of it is kept: only dropped lines need to be remembered
     none = F.array().cast(f"array<{lines.schema[order].dataType.simpleString()}>")
     dropped = F.aggregate("queue", none, lambda gone, x: F.when(F.size(F.array_except(x["before"], gone)) > 0, F.array_append(gone, x["k"])).otherwise(gone))
