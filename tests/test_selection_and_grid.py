@@ -111,3 +111,34 @@ def test_containment_equals_brute_force(spark):
     assert (score["expected"], score["found"], score["read"]) == (len(told), sum(holds(x) > 0 for x in told), len({t for _, t in texts if t}))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize(("sent", "bits"), [(1 << 20, 24), (0, 24), (1 << 20, 6)])
+def test_containment_by_each_path(spark, monkeypatch, sent, bits):
+    """Characters of one to four bytes, lines about the anchors' sizes; sent to the texts or met by key; a bitmap that is full."""
+    monkeypatch.setattr(containment, "SENT_BYTES", sent)
+    monkeypatch.setattr(containment, "MOST_BITS", bits)
+    monkeypatch.setattr(containment, "LEAST_BITS", min(bits, containment.LEAST_BITS))
+    rng = random.Random(8)
+    texts = [(k, "".join(rng.choice("abñ語𝒳") for _ in range(rng.choice([0, 1, 2, 3, 4, 9, 60])))) for k in range(120)] + [(500, None), (501, "ñó"), (502, "ab"), (503, "ñó")]
+    lines = [t[a : a + n] for _, t in texts if t for n in (1, 2, 3, 4, 5, 8, 12, 13) for a in [rng.randrange(len(t))]] + ["ñó", "ab", "語語語語語語", "zzzzzzzzzzzzz"]
+    want = spark.createDataFrame([(x,) for x in lines], "line string")
+    out = containment.containing(want, spark.createDataFrame(texts, "doc_id long, text string"), "doc_id").collect()
+    brute = {(x, k) for x in set(lines) for k, t in texts if t and (t == x or (len(x) > 3 and x in t))}
+    assert len(out) == len(brute) and {(r["line"], r["key"]) for r in out} == brute
+
+
+def test_containment_reads_texts_once_and_moves_no_runs(spark, tmp_path):
+    """Texts of 100,000 characters meet few lines: no row for each character, no exchange of texts or of their runs."""
+    rng = random.Random(9)
+    texts = [(k, "".join(rng.choice("abcdefghij") for _ in range(100_000))) for k in range(4)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/texts")
+    want = spark.createDataFrame([(texts[k % 4][1][a : a + n],) for k in range(20) for a, n in [(1000 * k, 9 + k)]], "line string")
+    read = spark.read.parquet(f"{tmp_path}/texts")
+    anchored = containment._anchored(want.distinct())
+    runs = containment._with_anchors(read, containment._bitmaps(anchored)[0])
+    assert runs.select(F.sum(F.size("anchors"))).head()[0] < 4000
+    out = containment.corpus_lines(want, read, "doc_id")
+    assert out.where("texts > 0").count() == 20
+    plan = out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/texts") == 1, plan
