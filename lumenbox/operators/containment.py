@@ -160,7 +160,7 @@ def corpus_lines(lines: DataFrame, texts: DataFrame, key: str, line: str = "line
 def corpus_score(lines: DataFrame, texts: DataFrame, key: str, line: str = "line", text: str = "text") -> DataFrame:
     """One row (recall, found, expected, read, spurious): all lines, repeated ones too, against the set of all texts."""
     want = corpus_lines(lines.where(F.col(line) != ""), texts, key, line, text).agg(F.count("*").alias("expected"), F.count_if(F.col("texts") > 0).alias("found"))
-    read = texts.where(F.col(text) != "").select(F.sha2(text, 256).alias("digest")).distinct().agg(F.count("*").alias("read"))
+    read = texts.select(F.sha2(text, 256).alias("digest")).distinct().agg(F.count_if(F.col("digest") != F.sha2(F.lit(""), 256)).alias("read"))
     return want.crossJoin(read).select(  # a row each
         F.coalesce(F.bround(F.try_divide("found", "expected"), 4), F.lit(0.0)).alias("recall"),
         "found", "expected", "read",

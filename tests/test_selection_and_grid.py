@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenbox.functions import geometry as g
+from lumenbox.functions.text import normalise_ocr
 from lumenbox.operators import containment, layout, metrics, selection
 
 NAN, INF = float("nan"), float("inf")
@@ -142,3 +143,15 @@ def test_containment_reads_texts_once_and_moves_no_runs(spark, tmp_path):
     assert out.where("texts > 0").count() == 20
     plan = out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f"{tmp_path}/texts") == 1, plan
+
+
+def test_corpus_score_normalises_a_text_once_for_each_side(spark, tmp_path):
+    """One pass looks for lines and one counts distinct texts; empty and null ones are not counted."""
+    rows = [(1, "The Cat, sat."), (2, "the cat sat"), (3, "..."), (4, None), (5, "dog")]
+    spark.createDataFrame(rows, "doc_id long, raw string").coalesce(1).write.parquet(f"{tmp_path}/raw")
+    texts = spark.read.parquet(f"{tmp_path}/raw").select("doc_id", normalise_ocr(F.col("raw")).alias("text"))
+    want = spark.createDataFrame([("catsa",), ("dog",), ("do",), ("catsa",), ("",), (None,)], "line string")
+    out = containment.corpus_score(want, texts, "doc_id")
+    assert tuple(out.head()) == (0.75, 3, 4, 2, 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(raw") == 2, plan
